@@ -1 +1,173 @@
+"""Federated training, aggregation strategies, scores and alarms."""
 
+from pyspark.sql import functions as F
+
+from checks.feature_queries import ALL_VIEWS, SCALED, rounded, rsql, tables
+from checks.registry import query, with_views
+from lateline.operators import audits
+from lateline.operators import federated as fed
+from lateline.plans.federation_run import (
+    compare_with_local, federated_rounds, local_baseline,
+)
+from lateline.session import materialize
+
+ROUNDS, EPOCHS = 3, 3
+
+SPLIT = SCALED + """,
+  ranked AS (
+    SELECT client, "window", x, row_number() OVER (PARTITION BY client ORDER BY "window") AS rn,
+      count(*) OVER (PARTITION BY client) AS n
+    FROM seqs WHERE split = 'train'),
+  halves AS (
+    SELECT client, "window", flatten(x) AS x,
+      CASE WHEN rn <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'val' END AS part
+    FROM ranked WHERE n >= 10)"""
+MOMENTS = SPLIT + """,
+  cells AS (
+    SELECT client, part, "window", CAST(unnest(x) AS DOUBLE) AS value,
+      CAST(unnest(range(0, 88)) AS INT) AS i FROM halves),
+  moments AS (
+    SELECT a.client, a.part, a.i, b.i AS j, count(*) AS n, sum(a.value) AS total,
+      sum(a.value * b.value) AS product
+    FROM cells a JOIN cells b ON b.client = a.client AND b.part = a.part
+      AND b."window" = a."window" GROUP BY ALL)"""
+
+
+def split(v):
+    seqs = tables(v).sequences
+    return fed.client_split(seqs.where(F.col("split") == "train"))
+
+
+def moments(v):
+    return materialize(fed.client_moments(split(v)), "moments")
+
+
+@query("F1_client_split", with_views(
+    ALL_VIEWS, 'SELECT client, "window", part FROM halves', SPLIT))
+def _(v):
+    return split(v).select("client", "window", "part")
+
+
+@query("F2_client_moments", with_views(ALL_VIEWS, f"""
+    SELECT client, part, i, j, n, round(total, 2) + 0.0 AS total,
+      round(product, 2) + 0.0 AS product FROM moments""", MOMENTS))
+def _(v):
+    return fed.client_moments(split(v)).select(
+        "client", "part", "i", "j", "n", (F.round("total", 2) + F.lit(0.0)).alias("total"),
+        (F.round("cross", 2) + F.lit(0.0)).alias("product"))
+
+
+@query("F3_local_update")
+def _(v):
+    train = moments(v).where(F.col("part") == "train")
+    return fed.local_update(train, fed.initial_weights(train), EPOCHS)
+
+
+@query("F4_fedavg", with_views("updates", f"""
+    SELECT layer, idx, {rsql('value')} FROM (
+      SELECT layer, idx, sum(n_examples * value) / sum(n_examples) AS value
+      FROM updates GROUP BY layer, idx) x"""))
+def _(v):
+    return rounded(fed.fedavg(v.updates), "value")
+
+
+@query("F5_fedmedian", with_views(
+    "updates", "SELECT layer, idx, median(value) AS value FROM updates GROUP BY layer, idx"))
+def _(v):
+    return fed.fedmedian(v.updates)
+
+
+@query("F6_fedtrimmed", with_views("updates", f"""
+    SELECT layer, idx, {rsql('value')} FROM (
+      SELECT layer, idx, avg(value) AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY layer, idx ORDER BY value, client) AS rank,
+          count(*) OVER (PARTITION BY layer, idx) AS n FROM updates) r
+      WHERE rank > floor(0.2 * n) AND rank <= n - floor(0.2 * n) GROUP BY layer, idx) x"""))
+def _(v):
+    return rounded(fed.fedtrimmed(v.updates), "value")
+
+
+@query("F7_fedprox")
+def _(v):
+    train = moments(v).where(F.col("part") == "train")
+    return fed.fedavg(fed.local_update(train, fed.initial_weights(train), EPOCHS, mu=0.1))
+
+
+@query("F8_federated_rounds")
+def _(v):
+    return federated_rounds(moments(v), "fedavg", ROUNDS, EPOCHS).history
+
+
+WEIGHTS = """,
+  a AS (SELECT k, i, (((k * 88 + i) * 37) % 101 - 50) / CAST(200 AS DOUBLE) AS value
+        FROM (SELECT unnest(range(0, 4)) AS k) x, (SELECT unnest(range(0, 88)) AS i) y),
+  b AS (SELECT i, k, (((i * 4 + k) * 53) % 97 - 48) / CAST(200 AS DOUBLE) AS value
+        FROM (SELECT unnest(range(0, 4)) AS k) x, (SELECT unnest(range(0, 88)) AS i) y),
+  points AS (
+    SELECT client, split, "window", CAST(unnest(flatten(x)) AS DOUBLE) AS value,
+      CAST(unnest(range(0, 88)) AS INT) AS i FROM seqs),
+  codes AS (
+    SELECT client, split, "window", k, sum(p.value * a.value) AS code
+    FROM points p JOIN a ON a.i = p.i GROUP BY ALL),
+  rebuilt AS (
+    SELECT client, split, "window", i, sum(code * b.value) AS value
+    FROM codes c JOIN b ON b.k = c.k GROUP BY ALL),
+  errors AS (
+    SELECT p.client, p.split, p."window", avg((r.value - p.value) ** 2) AS error
+    FROM points p JOIN rebuilt r ON r.client = p.client AND r.split = p.split
+      AND r."window" = p."window" AND r.i = p.i GROUP BY ALL),
+  thresholds AS (
+    SELECT client, quantile_cont(error, 0.995) AS threshold FROM errors
+    WHERE split = 'train' GROUP BY client)"""
+
+
+def errors(v):
+    """Scores of all sequences under fixed weights of dimension 88 and hidden size 4."""
+    cells = v.spark.range(4 * 88).select(F.col("id").cast("int").alias("idx"))
+    weights = cells.select(F.lit(0).alias("layer"), "idx",
+                           ((F.col("idx") * 37 % 101 - 50) / 200.0).alias("value")) \
+        .unionByName(cells.select(F.lit(1).alias("layer"), "idx",
+                                  ((F.col("idx") * 53 % 97 - 48) / 200.0).alias("value")))
+    return fed.reconstruction_error(tables(v).sequences, weights)
+
+
+def train_thresholds(scored):
+    return fed.alarm_threshold(scored.where(F.col("split") == "train"))
+
+
+@query("F9_reconstruction_error", with_views(ALL_VIEWS, f"""
+    SELECT client, split, "window", {rsql('error')} FROM errors""", SCALED + WEIGHTS))
+def _(v):
+    return rounded(errors(v).select("client", "split", "window", "error"), "error")
+
+
+@query("F10_alarm_threshold", with_views(
+    ALL_VIEWS, f"SELECT client, {rsql('threshold')} FROM thresholds", SCALED + WEIGHTS))
+def _(v):
+    return rounded(train_thresholds(errors(v)), "threshold")
+
+
+@query("F11_alarms", with_views(ALL_VIEWS, f"""
+    SELECT e.client, split, "window", {rsql('error', 'threshold')} FROM errors e
+    JOIN thresholds t ON t.client = e.client WHERE error > threshold""", SCALED + WEIGHTS))
+def _(v):
+    scored = materialize(errors(v).drop("x"), "errors")
+    return rounded(fed.alarms(scored, train_thresholds(scored)), "error", "threshold")
+
+
+@query("F12_local_baseline")
+def _(v):
+    own = moments(v)
+    return compare_with_local(own, federated_rounds(own, "fedavg", ROUNDS, EPOCHS), ROUNDS, EPOCHS)
+
+
+@query("A20_check_fedavg", with_views("updates", """
+    SELECT (SELECT count(*) FROM (SELECT DISTINCT layer, idx FROM updates) c) AS n_coordinates,
+      0 AS n_off,
+      (SELECT count(*) FROM (
+         SELECT u.client FROM updates u JOIN (
+           SELECT layer, idx, sum(n_examples * value) / sum(n_examples) AS mean
+           FROM updates GROUP BY layer, idx) m ON m.layer = u.layer AND m.idx = u.idx
+         GROUP BY u.client HAVING max(abs(u.value - m.mean)) <= 1e-6) s) AS n_clients_equal"""))
+def _(v):
+    return audits.check_fedavg(v.updates, fed.fedavg(v.updates))

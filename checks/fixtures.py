@@ -175,6 +175,8 @@ VIEWS = {
         SELECT CAST(n_nationkey AS STRING) AS operator_id, n_name AS name FROM {nation}""",
     "dim_stop": """
         SELECT CAST(s_suppkey AS STRING) AS stop_id, s_name AS name FROM {supplier}""",
+    "calendar_days": """
+        SELECT DATE '2024-01-01' + CAST(n_nationkey AS INT) AS date FROM {nation}""",
     "client_map": """
         SELECT CAST(n_nationkey AS STRING) AS operator_id,
           concat('c', CAST(n_nationkey % 3 AS STRING)) AS client

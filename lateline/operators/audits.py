@@ -96,7 +96,8 @@ def direction_values(fact: DataFrame) -> DataFrame:
 def delay_percentiles(fact: DataFrame) -> DataFrame:
     """Discrete percentiles; the buffer counts distinct delays and combines map-side."""
     ranks = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
-    discrete = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY delay_s)").alias(n)
+    discrete = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY delay_s)")
+                .cast("int").alias(n)
                 for n, q in ranks.items()]
     return (fact.where(F.col("status") == OBSERVED)
             .agg(F.min("delay_s").alias("min"), *discrete, F.max("delay_s").alias("max")))
@@ -212,7 +213,7 @@ def check_feature_formulas(features: DataFrame, minutes: int = WINDOW_MINUTES,
                            tolerance: float = 1e-9) -> DataFrame:
     """Number of violations per rule, on raw (not standardized) features."""
     def differs(rate, part):
-        expected = F.col(part) / F.col("n")
+        expected = F.col(part) / F.nullif(F.col("n"), F.lit(0))
         return F.col("complete") & (F.abs(F.col(rate) - expected)
                                     > tolerance * (1 + F.abs(expected)))
 
