@@ -1 +1,291 @@
+"""Sources, sinks, streams, verified export: written to the shared folder and read back."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from checks.feature_queries import ALL_VIEWS, FACT, SCALED, tables
+from checks.federated_queries import EPOCHS, ROUNDS, moments
+from checks.realtime_queries import FACTS, FLAT
+from checks.registry import query, with_views
+from checks.rollup_queries import HOURS, QUARTERS, STOP_KEYS, quarter_sql
+from checks.schedule_queries import digest_sql
+from lateline.operators import audits, federated, realtime, retention, rollups
+from lateline.plans.federation_run import compare_with_local, federated_rounds
+from lateline.plans.nightly import NightlyPaths, nightly
+from lateline.plans.rollup_store import write_rollup
+from lateline.schema import DELAY_FACT, SCHEDULE_LOOKUP
+from lateline.session import new_path
+from lateline.sources import packages, sinks, tables as sources
+from lateline.streaming import rollups as streaming
+from lateline.streaming.realtime import RealtimePaths, start_realtime
+
+UTC = dt.timezone.utc
+DAY = dt.date(2024, 1, 10)
+DAY_SQL = "{0} >= TIMESTAMP '2024-01-09 23:00:00' AND {0} < TIMESTAMP '2024-01-10 23:00:00'"
+PACKAGES = [f"p{i}" for i in range(4)]
+
+
+@query("S2_read_feed_period", with_views("feed_info", """
+    SELECT package, CAST(strptime(feed_start_date, '%Y%m%d') AS DATE) AS start_date,
+      CAST(strptime(feed_end_date, '%Y%m%d') AS DATE) AS end_date FROM feed_info"""))
+def _(v):
+    placed = v.feed_info.withColumns({"block": F.lit(0), "line": F.lit(0)})
+    return packages.read_feed_period(placed)
+
+
+@query("S3_read_package_tables", with_views("package_routes", """
+    SELECT CAST(route_id AS VARCHAR) AS route_id, route_long_name, route_short_name, route_type,
+      package, CAST(package_order AS INT) AS package_order FROM package_routes"""))
+def _(v):
+    root = new_path(v.spark, "packages")
+    (v.package_routes.select("route_id", "route_long_name", "route_short_name", "route_type",
+                             "package")
+     .write.option("header", True).option("quoteAll", True).partitionBy("package").csv(root))
+    read = packages.read_package_table(v.spark, root, PACKAGES, "routes",
+                                       layout="{root}/package={package}")
+    return read.drop("block", "line")
+
+
+@query("S4_read_snapshots", with_views("feed_updates", "SELECT * FROM flat", FLAT))
+def _(v):
+    path = new_path(v.spark, "snapshots")
+    v.snapshots.write.json(path)
+    return realtime.flatten_stops(sources.read_snapshots(v.spark, path)).drop(
+        "entity_no", "stop_no")
+
+
+def stored_facts(v):
+    """Facts as a table partitioned by date, as the real-time block stores them."""
+    path = new_path(v.spark, "facts")
+    v.delay_fact.withColumn("dt", F.col("service_date")).write.partitionBy("dt").parquet(path)
+    return path
+
+
+@query("S5_read_parquet_tree", with_views("delay_fact", "SELECT * FROM delay_fact"))
+def _(v):
+    return sources.read_parquet_tree(v.spark, stored_facts(v))
+
+
+@query("S6_archive_snapshots", with_views("polls", """
+    SELECT kind, header_ts, CAST(CAST(epoch_ms(header_ts * 1000) + INTERVAL '1' HOUR AS DATE)
+      AS DATE) AS dt,
+      CAST(hour(epoch_ms(header_ts * 1000) + INTERVAL '1' HOUR) AS INT) AS hh
+    FROM (SELECT DISTINCT 'tripUpdates' AS kind, header_ts + 1704067200 AS header_ts
+          FROM polls) x"""))
+def _(v):
+    path = new_path(v.spark, "archive")
+    raw = v.polls.select(F.lit("tripUpdates").alias("kind"),
+                         (F.col("header_ts") + 1704067200).alias("header_ts"),
+                         F.lit("x").alias("payload"))
+    sinks.archive_snapshots(raw, path)
+    sinks.archive_snapshots(raw, path)
+    return v.spark.read.parquet(path).drop("payload")
+
+
+@query("S7_export_facts_day", with_views(
+    "delay_fact", f"SELECT {FACT}, DATE '2024-01-10' AS dt FROM delay_fact "
+                  f"WHERE {DAY_SQL.format('ts')}"))
+def _(v):
+    path = new_path(v.spark, "export")
+    sinks.export_facts_day(v.delay_fact, DAY, path)
+    return v.spark.read.parquet(path)
+
+
+@query("S8_export_rollup_day", with_views(
+    "delay_fact", f"SELECT *, DATE '2024-01-10' AS dt FROM c1 WHERE {DAY_SQL.format('bucket')}",
+    QUARTERS))
+def _(v):
+    path = new_path(v.spark, "export")
+    sinks.export_rollup_day(rollups.rollup_15min(v.delay_fact), DAY, path)
+    return v.spark.read.parquet(path)
+
+
+@query("S9_export_runs_day", with_views(
+    "run_log", f"SELECT *, DATE '2024-01-10' AS dt FROM run_log "
+               f"WHERE {DAY_SQL.format('started_at')}"))
+def _(v):
+    path = new_path(v.spark, "export")
+    sinks.export_runs_day(v.run_log, DAY, path)
+    return v.spark.read.parquet(path)
+
+
+DIM_NAMES = ["dim_line", "dim_operator", "dim_stop", "schedule_version", "calendar_days"]
+
+
+@query("S10_export_dimensions", with_views(" ".join(DIM_NAMES), " UNION ALL ".join(
+    f"SELECT '{n}' AS dimension, count(*) AS n_rows FROM {n}" for n in DIM_NAMES)))
+def _(v):
+    path = new_path(v.spark, "dimensions")
+    sinks.export_dimensions({n: v.view(n) for n in DIM_NAMES}, path)
+    counts = [v.spark.read.parquet(f"{path}/{n}").agg(F.count(F.lit(1)).alias("n_rows"))
+              .select(F.lit(n).alias("dimension"), "n_rows") for n in DIM_NAMES]
+    union = counts[0]
+    for part in counts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+@query("S11_backfill_export", with_views("delay_fact run_log", """
+    SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) AS day, 'facts' AS kind, count(*) AS n
+    FROM delay_fact WHERE ts < TIMESTAMP '2024-02-04 23:00:00' GROUP BY ALL UNION ALL
+    SELECT CAST(bucket + INTERVAL '1' HOUR AS DATE), 'rollup', count(*) FROM c1 GROUP BY ALL
+    UNION ALL
+    SELECT CAST(started_at + INTERVAL '1' HOUR AS DATE), 'runs', count(*) FROM run_log GROUP BY ALL
+    UNION ALL
+    SELECT day, 'no facts', 0 FROM (
+      SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-04',
+        INTERVAL '1' DAY)) AS DATE) AS day) d
+    WHERE day NOT IN (SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) FROM delay_fact)""", QUARTERS))
+def _(v):
+    path = new_path(v.spark, "backfill")
+    bare = sinks.backfill_export(v.delay_fact, rollups.rollup_15min(v.delay_fact), v.run_log,
+                                 dt.date(2024, 1, 1), dt.date(2024, 2, 4), path)
+    out = bare.select("day", F.lit("no facts").alias("kind"), F.lit(0).cast("bigint").alias("n"))
+    for kind, folder in (("facts", "facts"), ("rollup", "rollup_15min"), ("runs", "runs")):
+        out = out.unionByName(
+            v.spark.read.parquet(f"{path}/{folder}").groupBy(F.col("dt").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n")).select("day", F.lit(kind).alias("kind"), "n"))
+    return out
+
+
+@query("S12_export_lookup_snapshot", with_views("schedule_lookup", """
+    SELECT trip_id, stop_id, stop_sequence, arrival, line_id, direction, headsign, operator_id,
+      day_offset, DATE '2024-01-20' AS dt, 6 AS version_id FROM schedule_lookup"""))
+def _(v):
+    path = new_path(v.spark, "lookup")
+    sinks.export_lookup_snapshot(v.schedule_lookup, 6, dt.date(2024, 1, 20), path)
+    return v.spark.read.parquet(path)
+
+
+@query("S13_write_features", with_views(ALL_VIEWS, """
+    SELECT client, split, count(*) AS n_windows,
+      (SELECT count(*) FROM seqs s WHERE s.client = f.client AND s.split = f.split) AS n_sequences,
+      (SELECT count(*) FROM stats t WHERE t.client = f.client) AS n_stats
+    FROM scaled f GROUP BY client, split""", SCALED))
+def _(v):
+    path = new_path(v.spark, "features")
+    sinks.write_features(tables(v), path)
+    count = F.count(F.lit(1))
+    windows = v.spark.read.parquet(f"{path}/features").groupBy("client", "split").agg(
+        count.alias("n_windows"))
+    seqs = v.spark.read.parquet(f"{path}/sequences").groupBy("client", "split").agg(
+        count.alias("n_sequences"))
+    stats = v.spark.read.parquet(f"{path}/scaling_stats").groupBy("client").agg(
+        count.alias("n_stats"))
+    return (windows.join(seqs, ["client", "split"], "left").join(stats, "client", "left")
+            .fillna(0, subset=["n_sequences", "n_stats"]))
+
+
+@query("S14_write_run_report")
+def _(v):
+    own = moments(v)
+    run = federated_rounds(own, "fedavg", ROUNDS, EPOCHS)
+    scored = federated.reconstruction_error(tables(v).sequences, run.weights)
+    report = sinks.run_report(
+        "fedavg", ROUNDS, 0.0, 0, run.history,
+        compare_with_local(own, run, ROUNDS, EPOCHS), federated.alarm_threshold(scored),
+        federated.model_size(run.weights))
+    path = new_path(v.spark, "report")
+    sinks.write_run_report(report, path)
+    return v.spark.read.schema(report.schema).json(path).select(
+        "strategy", "rounds", "parameters", "mb_per_client_per_round",
+        F.size("history").alias("n_rounds"), F.explode("comparison").alias("client", "c")) \
+        .select("strategy", "rounds", "parameters", "mb_per_client_per_round", "n_rounds",
+                "client", "c.*")
+
+
+@query("A14_export_gaps", with_views("run_log", """
+    SELECT started_at AS gap_from, following AS gap_to,
+      (epoch_us(following) - epoch_us(started_at)) / 60000000 AS gap_minutes
+    FROM (SELECT started_at, lead(started_at) OVER (ORDER BY started_at) AS following
+          FROM run_log) x
+    WHERE epoch_us(following) - epoch_us(started_at) > 10 * 60000000"""))
+def _(v):
+    path = new_path(v.spark, "gaps")
+    sinks.export_gaps(audits.gaps(v.run_log, 10), path)
+    return v.spark.read.parquet(path)
+
+
+VERIFY_COLUMNS = ["epoch_us(ts)" if c == "ts" else c for c in DELAY_FACT.fieldNames()]
+VERIFY = f"""
+  day_source AS (SELECT *, CAST(ts + INTERVAL '1' HOUR AS DATE) AS day FROM delay_fact),
+  day_copy AS (SELECT *, CAST(ts + INTERVAL '1' HOUR AS DATE) AS day FROM facts_copy),
+  a AS ({digest_sql('day_source', VERIFY_COLUMNS, 'day')}),
+  b AS ({digest_sql('day_copy', VERIFY_COLUMNS, 'day')}),
+  checked AS (
+    SELECT coalesce(a.day, b.day) AS day, coalesce(a.n_rows, 0) AS n_source,
+      coalesce(b.n_rows, 0) AS n_copy, coalesce(a.digest = b.digest, FALSE) AS verified
+    FROM a FULL JOIN b ON a.day = b.day)"""
+
+
+@query("M1_verify_export",
+       with_views("delay_fact facts_copy", "SELECT * FROM checked", VERIFY))
+def _(v):
+    return retention.verify_export(v.delay_fact, v.facts_copy, "ts", DELAY_FACT.fieldNames())
+
+
+@query("M2_purgeable_days", with_views("delay_fact facts_copy", """
+    SELECT day, n_source AS n_rows FROM checked
+    WHERE verified AND day + 1 <= DATE '2024-01-24'""", VERIFY))
+def _(v):
+    verified = retention.verify_export(v.delay_fact, v.facts_copy, "ts", DELAY_FACT.fieldNames())
+    return retention.purgeable_days(v.delay_fact, verified,
+                                    dt.datetime(2024, 1, 26, 12, 0, tzinfo=UTC))
+
+
+@query("M3_nightly", with_views("delay_fact", f"""
+    SELECT DATE '2024-01-10' AS day, count(*) AS n_rows FROM delay_fact
+    WHERE {DAY_SQL.format('ts')}"""))
+def _(v):
+    root = new_path(v.spark, "nightly")
+    paths = NightlyPaths(f"{root}/r15", f"{root}/r15stop", f"{root}/export", f"{root}/verified")
+    write_rollup(rollups.rollup_15min(v.facts_copy), "15min", paths.rollup_15min)
+    return nightly(v.spark, v.delay_fact, v.run_log, {"dim_operator": v.dim_operator}, paths, DAY,
+                   dt.datetime(2024, 1, 30, 3, 30, tzinfo=UTC))
+
+
+# --- streams, run to the end of their input ---
+
+def streamed(v, build):
+    facts = v.spark.readStream.schema(DELAY_FACT).option("recursiveFileLookup", True) \
+        .parquet(stored_facts(v))
+    path, state = new_path(v.spark, "stream"), new_path(v.spark, "state")
+    streaming.write_stream(build(facts), path, state, {"availableNow": True}).awaitTermination()
+    return v.spark.read.parquet(path)
+
+
+CLOSED = """{0} + INTERVAL '{1}' <= (SELECT date_trunc('millisecond', max(ts)) FROM delay_fact)
+    - INTERVAL '6 hours'"""
+
+
+@query("C1_stream_rollup_15min", with_views(
+    "delay_fact", f"SELECT * FROM c1 WHERE {CLOSED.format('bucket', '15 minutes')}", QUARTERS))
+def _(v):
+    return streamed(v, streaming.stream_rollup_15min)
+
+
+@query("C2_stream_rollup_1h", with_views(
+    "delay_fact", f"SELECT * FROM c2 WHERE {CLOSED.format('hour', '1 hour')}", HOURS))
+def _(v):
+    return streamed(v, streaming.stream_rollup_1h)
+
+
+@query("C4_stream_rollup_15min_stop", with_views(
+    "delay_fact", f"SELECT * FROM c4 WHERE {CLOSED.format('bucket', '15 minutes')}",
+    f"c4 AS ({quarter_sql('delay_fact', STOP_KEYS)})"))
+def _(v):
+    return streamed(v, streaming.stream_rollup_15min_stop)
+
+
+@query("R13_rt_pipeline", with_views("feed_updates schedule_lookup", "SELECT * FROM facts", FACTS))
+def _(v):
+    root = new_path(v.spark, "rt")
+    paths = RealtimePaths(**{n: f"{root}/{n}" for n in (
+        "snapshots", "versions", "lookup", "facts", "runs", "checkpoint", "archive")})
+    v.snapshots.write.json(paths.snapshots)
+    v.schedule_version.where("version_id = 1").write.parquet(paths.versions)
+    v.schedule_lookup.select(*[F.col(f.name).cast(f.dataType) for f in SCHEDULE_LOOKUP]) \
+        .write.parquet(paths.lookup)
+    start_realtime(v.spark, paths, {"availableNow": True}).awaitTermination()
+    return v.spark.read.schema(DELAY_FACT).parquet(paths.facts).drop("dt")

@@ -122,6 +122,15 @@ def _loss(a: np.ndarray, b: np.ndarray, gram: np.ndarray) -> float:
     return float(np.trace(rest @ gram @ rest.T) / len(gram))
 
 
+def _per_client(moments: DataFrame, weights: DataFrame, work, schema: str) -> DataFrame:
+    """Run ``work`` on each client's moment matrix and weights, both of fixed size."""
+    # New column names, because the weights often derive from the same moments.
+    own = weights.select(F.col("client").alias("owner"), F.col("layer").alias("layer"),
+                         F.col("idx").alias("idx"), F.col("value").alias("value"))
+    return (moments.select("client", "i", "j", "n", "cross").groupBy("client")
+            .cogroup(own.groupBy("owner")).applyInPandas(work, schema))
+
+
 def local_update(moments: DataFrame, weights: DataFrame, epochs: int, mu: float = 0.0,
                  learning_rate: float = LEARNING_RATE) -> DataFrame:
     """``epochs`` gradient steps per client from ``weights`` (client, layer, idx, value).
@@ -151,9 +160,7 @@ def local_update(moments: DataFrame, weights: DataFrame, epochs: int, mu: float
             "idx": np.concatenate([np.arange(len(f)) for f in flat]),
             "value": np.concatenate(flat), "n_examples": n, "loss": _loss(a, b, gram)})
 
-    return (moments.select("client", "i", "j", "n", "cross").groupBy("client")
-            .cogroup(weights.select("client", "layer", "idx", "value").groupBy("client"))
-            .applyInPandas(train, UPDATES))
+    return _per_client(moments, weights, train, UPDATES)
 
 
 def moment_loss(moments: DataFrame, weights: DataFrame) -> DataFrame:
@@ -166,9 +173,7 @@ def moment_loss(moments: DataFrame, weights: DataFrame) -> DataFrame:
         return pd.DataFrame({"client": [key[0]], "n_examples": [n],
                              "error": [_loss(a, b, gram)]})
 
-    return (moments.select("client", "i", "j", "n", "cross").groupBy("client")
-            .cogroup(weights.select("client", "layer", "idx", "value").groupBy("client"))
-            .applyInPandas(score, "client string, n_examples bigint, error double"))
+    return _per_client(moments, weights, score, "client string, n_examples bigint, error double")
 
 
 # --- aggregation of client updates ---

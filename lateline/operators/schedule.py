@@ -31,29 +31,36 @@ def _mapped(values: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def merge_package_table(table: DataFrame, keys: list[str] | None) -> DataFrame:
+def merge_package_table(table: DataFrame, keys: list[str] | None,
+                        keep_position: bool = False) -> DataFrame:
     """First record per business key, in package order; all records if there are no keys.
 
     The winner is found by a partial aggregate, so a key that most packages repeat is reduced
     before the shuffle.
     """
     content = [c for c in table.columns if c not in PLACE]
+    position = [c for c in POSITION if keep_position]
     if keys is None:
-        return table.select(*content)
+        return table.select(*content, *position)
     rest = [c for c in content if c not in keys]
     first = table.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest, F.lit(1).alias("_")), F.struct(*POSITION)).alias("r"))
-    return first.select(*[F.col(c) if c in keys else F.col(f"r.{c}") for c in content])
+        F.min_by(F.struct(*rest, *POSITION), F.struct(*POSITION)).alias("r"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"r.{c}")
+                          for c in content + position])
 
 
 def merge_packages(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Merge every table over the packages; ``feed_info`` is the first package's alone."""
+    """Merge every table over the packages; ``feed_info`` is the first package's alone.
+
+    ``service_ext`` keeps its positions, because of several names of a service the last counts.
+    """
     merged = {}
     for name, table in tables.items():
         if name == "feed_info":
             first = table.groupBy().agg(F.min("package_order").alias("package_order"))
             table = table.join(first, "package_order", "left_semi")
-        merged[name] = merge_package_table(table, BUSINESS_KEYS.get(name))
+        merged[name] = merge_package_table(table, BUSINESS_KEYS.get(name),
+                                           keep_position=name == "service_ext")
     return merged
 
 
