@@ -9,6 +9,7 @@ from lateline.functions.clock import hms_to_seconds
 from lateline.operators import audits
 from lateline.operators import features as ops
 from lateline.plans.feature_build import feature_tables
+from lateline.session import materialize
 
 HOURLY = 60
 FACT_VIEWS = "delay_fact schedule_lookup client_map"
@@ -145,6 +146,10 @@ def departed(v):
     return ops.departures(ops.trip_median(facts(v)), ops.first_stop(v.schedule_lookup))
 
 
+def gaps_of(v):
+    return ops.headways(materialize(departed(v), "departures"))
+
+
 RATES = ["d", "w", "p"]
 QUARTER = chain(15)
 SCALED = scaled_chain(HOURLY)
@@ -196,21 +201,21 @@ def _(v):
 
 @query("L8_headways", with_views(ALL_VIEWS, "SELECT * FROM gaps", QUARTER))
 def _(v):
-    return ops.headways(departed(v))
+    return gaps_of(v)
 
 
 @query("L9_rolling_expand", with_views(ALL_VIEWS, """
     SELECT client, line_id, direction, departure, trip_id, headway_s, "window" FROM expanded""",
     QUARTER))
 def _(v):
-    return ops.rolling_expand(ops.headways(departed(v)))
+    return ops.rolling_expand(gaps_of(v))
 
 
 @query("L10_line_headway_std", with_views(ALL_VIEWS, f"""
     SELECT client, "window", line_id, direction, {rsql('headway_std')}, n_headways
     FROM line_std""", QUARTER))
 def _(v):
-    return rounded(ops.line_headway_std(ops.rolling_expand(ops.headways(departed(v)))),
+    return rounded(ops.line_headway_std(ops.rolling_expand(gaps_of(v))),
                    "headway_std")
 
 

@@ -29,7 +29,7 @@ VIEWS = {
                ELSE 'OBSERVED' END AS status
         FROM (SELECT *, CAST(floor(event_id / 5) AS BIGINT) AS k FROM {events}) e""",
     "schedule_lookup": """
-        SELECT DISTINCT 1 AS version_id, CAST(l_orderkey AS STRING) AS trip_id,
+        SELECT 1 AS version_id, CAST(l_orderkey AS STRING) AS trip_id,
           CAST(l_partkey AS STRING) AS stop_id, l_linenumber AS stop_sequence,
           concat(CAST(h AS STRING), ':', lpad(CAST(m AS STRING), 2, '0'), ':00') AS arrival,
           concat('L', CAST(l_orderkey % 6 AS STRING)) AS line_id,
@@ -38,14 +38,17 @@ VIEWS = {
           CAST(l_orderkey % 6 AS STRING) AS operator_id,
           CAST(floor(h / 24) AS SMALLINT) AS day_offset
         FROM (SELECT *, 22 + CAST(floor(l_orderkey / 12) AS BIGINT) % 4 AS h,
-                (l_orderkey * 7 + l_linenumber) % 60 AS m FROM {lineitem}) x""",
+                (l_orderkey * 7 + l_linenumber) % 60 AS m
+              FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM {lineitem}) d) x""",
     "versioned_lookup": """
-        SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS version_id,
+        SELECT CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS version_id,
           CAST(l_orderkey AS STRING) AS trip_id, CAST(l_partkey AS STRING) AS stop_id,
           l_linenumber AS stop_sequence, l_shipmode_arrival AS arrival, 'L1' AS line_id,
           '0' AS direction, 'x' AS headsign, '5' AS operator_id, CAST(0 AS SMALLINT) AS day_offset
         FROM (SELECT *, concat(CAST(5 + l_orderkey % 18 AS STRING), ':00:00')
-                AS l_shipmode_arrival FROM {lineitem}) x""",
+                AS l_shipmode_arrival
+              FROM (SELECT DISTINCT l_returnflag, l_orderkey, l_partkey, l_linenumber
+                    FROM {lineitem}) d) x""",
     "versioned_fact": """
         SELECT ts, CASE event_type WHEN 'click' THEN NULL ELSE 1 END AS version_id FROM {events}""",
     "calendar": """

@@ -3,6 +3,8 @@
 A plain window puts a whole group in one task. Here a group is cut into time slices; each
 slice is one task's work, and only one row per (group, slice) is carried on to stitch the
 slices together. The carried rows are stitched the same way with the next, wider slice.
+The rows themselves are shuffled once; their summary combines map-side. Both read the input,
+so it should be a stored table where it is costly to compute.
 """
 
 from __future__ import annotations
@@ -24,9 +26,7 @@ def _preceding(df, keys, order, seconds, value, how, name, widths):
     depth = len(widths)
     slice_col, carry, nth = f"_slice{depth}", f"_carry{depth}", f"_nth{depth}"
     parts = [*keys, slice_col]
-    # One exchange serves both the rows and their per-slice summary.
-    rows = (df.withColumn(slice_col, F.floor(seconds / width).cast("bigint"))
-            .repartition(*parts))
+    rows = df.withColumn(slice_col, F.floor(seconds / width).cast("bigint"))
     summary = rows.groupBy(*parts).agg(_total(value, how, order).alias(f"_total{depth}"))
     carried = _preceding(summary, keys, [slice_col], F.col(slice_col) * width,
                          f"_total{depth}", how, carry, wider).select(*parts, carry)
@@ -53,9 +53,10 @@ def _over(value, how, ordered):
 
 
 def _total(value, how, order):
-    if how == "last":
+    if how == "last" and value != order[0]:
         return F.max_by(value, F.struct(*order))
-    return F.max(value) if how == "max" else F.sum(value)
+    # The last of the leading order column is its maximum, which needs no sorting aggregate.
+    return F.sum(value) if how == "sum" else F.max(value)
 
 
 def preceding(df: DataFrame, keys: list[str], order: list[str], value: str, how: str,

@@ -16,6 +16,7 @@ from lateline.functions.clock import (
     add_seconds, bucket, hms_to_seconds, local_date, local_midnight, local_time,
 )
 from lateline.functions.ordered import DAY, overlapping_slices, preceding
+from lateline.session import materialize
 
 LINE_KEYS = ["client", "line_id", "direction"]
 
@@ -114,7 +115,9 @@ def line_headway_std(expanded: DataFrame, min_trips: int = MIN_TRIPS_FOR_HEADWAY
 def headway_irregularity(fact: DataFrame, lookup: DataFrame, minutes: int = WINDOW_MINUTES,
                          trailing: int = HEADWAY_WINDOW_MINUTES) -> DataFrame:
     """Mean over lines of the headway deviation, per client and window."""
-    gaps = headways(departures(trip_median(fact), first_stop(lookup)))
+    # One row per trip and day; stored, because the headways read it twice.
+    departed = materialize(departures(trip_median(fact), first_stop(lookup)), "departures")
+    gaps = headways(departed)
     per_line = line_headway_std(rolling_expand(gaps, minutes, trailing))
     return per_line.groupBy("client", "window").agg(F.avg("headway_std").alias("h"))
 

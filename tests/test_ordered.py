@@ -35,13 +35,10 @@ def test_preceding(rows, keys, widths, how):
     assert got == want
 
 
-def test_rows_and_summary_share_one_exchange(rows):
-    plan = preceding(rows, ["key"], ["ts", "id"], "value", "last", "out") \
-        ._jdf.queryExecution().executedPlan()
-    df = preceding(rows, ["key"], ["ts", "id"], "value", "last", "out")
-    df.collect()
-    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString() \
-        or "ReusedExchange" in plan.toString()
+def test_rows_are_shuffled_once_and_summaries_combine_first(rows):
+    df = preceding(rows, ["key"], ["ts", "id"], "ts", "last", "out").select("out")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max(ts" in plan and "SortAggregate" not in plan
 
 
 def test_overlapping_slices(spark):
