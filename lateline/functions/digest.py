@@ -22,18 +22,21 @@ def content_digest(df: DataFrame, columns: list[str], by: list[str] = ()) -> Dat
     """``by`` columns, ``n_rows`` and ``digest`` (SHA-256 hex) of the rows' content.
 
     Every row's SHA-256 is cut into 32-bit words that are summed exactly, so equal multisets
-    of rows give equal sums in any order. Sums combine map-side: the shuffle carries one small
-    row per task and group, and no group is ever collected.
+    of rows give equal sums in any order. Sums combine map-side: the shuffle carries small rows
+    per task and group, and no group is ever collected. The first sums run per leading hash
+    byte as plain integers (room for 2^31 rows each), the second ones as decimals.
     """
     row_hash = F.sha2(F.concat_ws("|", *[_encoded(df, c) for c in columns]), 256)
-    words = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("decimal(10,0)")
-             for i in range(_WORDS)]
     sums = [f"_s{i}" for i in range(_WORDS)]
-    hashed = df.select(*by, row_hash.alias("_h"))
-    return (hashed.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n_rows"),
-                 *[F.sum(w).alias(s) for w, s in zip(words, sums)])
-            .select(*by, "n_rows",
-                    F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"),
-                                       *[F.coalesce(F.col(s), F.lit(0)).cast("string")
-                                         for s in sums]), 256).alias("digest")))
+    words = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")
+             for i in range(_WORDS)]
+    partial = (df.select(*by, row_hash.alias("_h"))
+               .groupBy(*by, F.substring("_h", 1, 2).alias("_byte"))
+               .agg(F.count(F.lit(1)).alias("_n"),
+                    *[F.sum(w).alias(s) for w, s in zip(words, sums)]))
+    total = partial.groupBy(*by).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
+        *[F.coalesce(F.sum(F.col(s).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(s)
+          for s in sums])
+    text = F.concat_ws("|", F.col("n_rows").cast("string"), *sums)
+    return total.select(*by, "n_rows", F.sha2(text, 256).alias("digest"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lateline.constants import (
     FEATURES, GAP_MINUTES, LARGEST_GAPS, MAX_CLIENTS, MIN_CLIENTS, NO_SCHEDULE, OBSERVED,
-    SANE_MAX, SANE_MIN, SEQUENCE_LENGTH, SILENCE_MINUTES, TIME_ZONE, WINDOW_MINUTES,
+    SANE_MAX, SANE_MIN, SEQUENCE_LENGTH, SILENCE_MINUTES, STOP_SKIPPED, TIME_ZONE,
+    TRIP_CANCELED, WINDOW_MINUTES,
 )
 from lateline.functions.clock import local_date
 from lateline.functions.ordered import overlapping_slices, preceding
@@ -32,23 +33,35 @@ def feed_coverage(snapshots: DataFrame, lookup: DataFrame, version: int) -> Data
     has_update = F.col("e.trip_update").isNotNull()
     named = has_update & (F.coalesce(trip, F.lit("")) != "")
     canceled = named & F.coalesce(
-        F.col("e.trip_update.trip.schedule_relationship") == "CANCELED", F.lit(False))
-    entity_counts = entities.agg(
+        F.col("e.trip_update.trip.schedule_relationship") == TRIP_CANCELED, F.lit(False))
+    stop_list = F.when(named & ~canceled, F.col("e.trip_update.stop_time_update"))
+
+    def stops_with(condition):
+        return F.coalesce(F.sum(F.size(F.filter("stops", condition))), F.lit(0))
+
+    def skipped(s):
+        return s["stop_sequence"].isNotNull() & F.coalesce(
+            s["schedule_relationship"] == STOP_SKIPPED, F.lit(False))
+
+    def running(s):
+        return s["stop_sequence"].isNotNull() & ~skipped(s)
+
+    # One pass for all counts; no row is made per stop.
+    counts = entities.select("e", stop_list.alias("stops")).agg(
         F.count(F.lit(1)).alias("n_entities"), F.count_if(has_update).alias("n_trip_updates"),
-        F.count_if(canceled).alias("n_canceled"))
+        F.count_if(canceled).alias("n_canceled"),
+        stops_with(lambda s: F.lit(True)).alias("n_stop_updates"),
+        stops_with(lambda s: s["stop_sequence"].isNull()).alias("n_no_sequence"),
+        stops_with(skipped).alias("n_skipped"),
+        stops_with(lambda s: running(s) & s["arrival"].isNull()).alias("n_no_arrival"),
+        stops_with(lambda s: running(s) & s["arrival"].isNotNull()
+                   & s["arrival"]["delay"].isNull()).alias("n_no_delay"),
+        stops_with(lambda s: running(s) & s["arrival"]["delay"].isNotNull())
+        .alias("n_candidates"))
 
     stops = (entities.where(named & ~canceled)
              .select(trip.alias("trip_id"), F.explode("e.trip_update.stop_time_update").alias("s")))
     with_seq = F.col("s.stop_sequence").isNotNull()
-    skipped = with_seq & F.coalesce(F.col("s.schedule_relationship") == "SKIPPED", F.lit(False))
-    running = with_seq & ~skipped
-    arrival = F.col("s.arrival").isNotNull()
-    delay = F.col("s.arrival.delay").isNotNull()
-    stop_counts = stops.agg(
-        F.count(F.lit(1)).alias("n_stop_updates"), F.count_if(~with_seq).alias("n_no_sequence"),
-        F.count_if(skipped).alias("n_skipped"), F.count_if(running & ~arrival).alias("n_no_arrival"),
-        F.count_if(running & arrival & ~delay).alias("n_no_delay"),
-        F.count_if(running & delay).alias("n_candidates"))
 
     current = lookup.where(F.col("version_id") == version)
     trips = entities.where(named).select(trip.alias("trip_id")).distinct()
@@ -63,8 +76,8 @@ def feed_coverage(snapshots: DataFrame, lookup: DataFrame, version: int) -> Data
         F.coalesce(F.sum("_n"), F.lit(0)).alias("_pairs"),
         F.coalesce(F.sum(F.col("_n") * F.col("_times")), F.lit(0)).alias("n_matched"))
 
-    row = entity_counts
-    for part in (stop_counts, trip_counts, pair_counts):
+    row = counts
+    for part in (trip_counts, pair_counts):
         packed = part.select(F.struct("*").alias("_p"))
         row = row.select("*", packed.scalar().alias("_p")).select("*", "_p.*").drop("_p")
     lost = F.col("_pairs") - F.col("n_matched")

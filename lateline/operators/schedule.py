@@ -26,6 +26,13 @@ def _number(c: Column) -> Column:
     return F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
 
 
+def _whole(c: Column) -> Column:
+    """Integer of a text such as "7" or "7.0", null for anything else."""
+    text = F.trim(c)
+    # The second cast runs only where the first gives null.
+    return F.coalesce(text.try_cast("int"), text.try_cast("decimal(20,6)").try_cast("int"))
+
+
 def _mapped(values: dict[str, str], key: Column) -> Column:
     pairs = [F.lit(x) for item in values.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), key)
@@ -145,11 +152,11 @@ def build_schedule_lookup(stop_times: DataFrame, trips: DataFrame,
     """Stop times with line, direction, headsign, operator and day offset of their trip."""
     described = (trips.select("trip_id", "route_id", "direction_id", "trip_headsign")
                  .join(trips_ext.select("trip_id", "operator_id"), "trip_id", "left"))
-    hour = _number(F.split("arrival_time", ":")[0])
+    hour = _whole(F.split("arrival_time", ":")[0])
     return (stop_times.select("trip_id", "stop_id", "stop_sequence", "arrival_time")
             .join(described, "trip_id")
             .select("trip_id", "stop_id",
-                    _number(F.col("stop_sequence")).cast("int").alias("stop_sequence"),
+                    _whole(F.col("stop_sequence")).alias("stop_sequence"),
                     F.col("arrival_time").alias("arrival"),
                     F.col("route_id").alias("line_id"),
                     F.col("direction_id").alias("direction"),
