@@ -7,7 +7,7 @@ from checks.registry import query, with_views
 from lateline.operators import audits
 from lateline.operators import federated as fed
 from lateline.plans.federation_run import (
-    compare_with_local, federated_rounds, local_baseline,
+    compare_with_local, federated_rounds,
 )
 from lateline.session import materialize
 
@@ -34,8 +34,8 @@ MOMENTS = SPLIT + """,
 
 
 def split(v):
-    seqs = tables(v).sequences
-    return fed.client_split(seqs.where(F.col("split") == "train"))
+    seqs = materialize(tables(v).sequences.where(F.col("split") == "train"), "sequences")
+    return fed.client_split(seqs)
 
 
 def moments(v):
@@ -152,7 +152,8 @@ def _(v):
     JOIN thresholds t ON t.client = e.client WHERE error > threshold""", SCALED + WEIGHTS))
 def _(v):
     scored = materialize(errors(v).drop("x"), "errors")
-    return rounded(fed.alarms(scored, train_thresholds(scored)), "error", "threshold")
+    thresholds = materialize(train_thresholds(scored), "thresholds")
+    return rounded(fed.alarms(scored, thresholds), "error", "threshold")
 
 
 @query("F12_local_baseline")

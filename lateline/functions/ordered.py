@@ -54,7 +54,7 @@ def _over(value, how, ordered):
 
 def _total(value, how, order):
     if how == "last" and value != order[0]:
-        return F.max_by(value, F.struct(*order))
+        return F.max_by(value, order[0] if len(order) == 1 else F.struct(*order))
     # The last of the leading order column is its maximum, which needs no sorting aggregate.
     return F.sum(value) if how == "sum" else F.max(value)
 

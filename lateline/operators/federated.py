@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lateline.constants import ALARM_PERCENTILE, MIN_SEQUENCES, VALIDATION_SHARE
 from lateline.functions.ordered import preceding
+from lateline.session import materialize
 
 HIDDEN = 8
 LEARNING_RATE = 0.5
@@ -40,8 +41,9 @@ def client_split(seqs: DataFrame, val_share: float = VALIDATION_SHARE,
     time slices, so no client's sequences meet in one task.
     """
     columns = seqs.columns
-    sizes = (seqs.groupBy("client").agg(F.count(F.lit(1)).alias("_n"))
-             .where(F.col("_n") >= min_sequences))
+    # One row per client: stored, the planner knows it is small and does not shuffle ``seqs``.
+    sizes = materialize(seqs.groupBy("client").agg(F.count(F.lit(1)).alias("_n"))
+                        .where(F.col("_n") >= min_sequences), "sizes")
     ranked = preceding(seqs.withColumn("_one", F.lit(1)), ["client"], ["window"], "_one", "sum",
                        "_before")
     boundary = F.floor(F.col("_n") * F.lit(1 - val_share))
@@ -257,7 +259,7 @@ def alarm_threshold(errors: DataFrame, clients: DataFrame | None = None,
 
 
 def alarms(errors: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Sequences whose error is above their client's threshold."""
+    """Sequences whose error is above their client's threshold (a stored table)."""
     return errors.join(thresholds, "client").where(F.col("error") > F.col("threshold"))
 
 

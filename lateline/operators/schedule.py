@@ -12,6 +12,7 @@ from lateline.constants import (
     NO_SCHEDULE, OTHER_MODE, TRANSPORT_MODES, WEEKDAYS,
 )
 from lateline.functions.digest import content_digest
+from lateline.session import few_values
 
 POSITION = ["package_order", "block", "line"]
 PLACE = ["package", *POSITION]
@@ -241,7 +242,10 @@ def append_lookup(stored: DataFrame, lookup: DataFrame, versions: DataFrame,
 
 def prune_lookup(lookup: DataFrame, active_version: int, fact: DataFrame) -> DataFrame:
     """Rows of the active version and of versions that facts still refer to."""
-    used = (fact.where(F.col("version_id").isNotNull()).select("version_id")
-            .union(fact.sparkSession.range(1).select(F.lit(active_version).cast("int")))
-            .distinct())
-    return lookup.join(used, "version_id", "left_semi")
+    used = fact.where(F.col("version_id").isNotNull()).select("version_id").distinct()
+    versions = few_values(used)
+    if versions is not None:
+        return lookup.where(F.col("version_id").isin([active_version, *versions]))
+    active = F.col("version_id") == active_version
+    return lookup.where(active).unionByName(
+        lookup.where(~active).join(used, "version_id", "left_semi"))

@@ -38,9 +38,9 @@ def feature_tables(fact: DataFrame, lookup: DataFrame, dim_date: DataFrame, mapp
 
     raw = ops.time_split(base, train_share)
     train = F.col("split") == "train"
-    profile = ops.daily_profile(raw.where(train))
+    # A few rows per client each; as written tables their size is known when joins are planned.
+    profile = materialize(ops.daily_profile(raw.where(train)), "profile")
     deviated = ops.profile_deviation(raw, profile)
-    # One row per client; as a written table its size is known when the join is planned.
     stats = materialize(ops.scaling_stats(deviated.where(train)), "scaling")
     scaled = ops.standardize(deviated, stats)
     return FeatureTables(raw, profile, stats, scaled, ops.sequences(scaled, length, minutes))

@@ -62,3 +62,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few_values(df: DataFrame, limit: int = 10_000) -> list | None:
+    """The values of a one-column frame if there are at most ``limit``, else None.
+
+    Lets a filter use a literal list, which prunes partitions and needs no join, only where the
+    list is known to be short.
+    """
+    rows = df.distinct().limit(limit + 1).collect()
+    return None if len(rows) > limit else [r[0] for r in rows]
