@@ -165,12 +165,14 @@ def _(v):
     FROM scaled f GROUP BY client, split""", SCALED))
 def _(v):
     path = new_path(v.spark, "features")
-    sinks.write_features(tables(v), path)
+    built = tables(v)
+    sinks.write_features(built, path)
     count = F.count(F.lit(1))
     windows = v.spark.read.parquet(f"{path}/features").groupBy("client", "split").agg(
         count.alias("n_windows"))
-    seqs = v.spark.read.parquet(f"{path}/sequences").groupBy("client", "split").agg(
-        count.alias("n_sequences"))
+    # With few facts there may be no sequence, hence no file to infer a schema from.
+    seqs = v.spark.read.schema(built.sequences.schema).parquet(f"{path}/sequences").groupBy(
+        "client", "split").agg(count.alias("n_sequences"))
     stats = v.spark.read.parquet(f"{path}/scaling_stats").groupBy("client").agg(
         count.alias("n_stats"))
     return (windows.join(seqs, ["client", "split"], "left").join(stats, "client", "left")

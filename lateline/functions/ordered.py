@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 HOUR = 3600
 DAY = 24 * HOUR
-SLICES = (HOUR, 30 * DAY)
+# One row per hour and group is carried on: at most 8,784 a year.
+SLICES = (HOUR,)
 
 
 def _preceding(df, keys, order, seconds, value, how, name, widths):
@@ -32,17 +33,17 @@ def _preceding(df, keys, order, seconds, value, how, name, widths):
                          f"_total{depth}", how, carry, wider).select(*parts, carry)
 
     inside = Window.partitionBy(*parts).orderBy(*order)
-    local = f"_local{depth}"
-    out = (rows.withColumn(local, _over(value, how, inside))
-           .withColumn(nth, F.row_number().over(inside))
+    local = F.col(f"_local{depth}")
+    out = (rows.select("*", _over(value, how, inside).alias(f"_local{depth}"),
+                       F.row_number().over(inside).alias(nth))
            .join(carried, parts, "left"))
     if how == "last":
-        joined = F.when(F.col(nth) == 1, F.col(carry)).otherwise(F.col(local))
+        joined = F.when(F.col(nth) == 1, F.col(carry)).otherwise(local)
     elif how == "max":
-        joined = F.greatest(F.col(carry), F.col(local))
+        joined = F.greatest(F.col(carry), local)
     else:
-        joined = F.coalesce(F.col(carry), F.lit(0)) + F.coalesce(F.col(local), F.lit(0))
-    return out.withColumn(name, joined).drop(slice_col, carry, nth, local)
+        joined = F.coalesce(F.col(carry), F.lit(0)) + F.coalesce(local, F.lit(0))
+    return out.select(*df.columns, joined.alias(name))
 
 
 def _over(value, how, ordered):
