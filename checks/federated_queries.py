@@ -11,7 +11,7 @@ from lateline.plans.federation_run import (
 )
 from lateline.session import materialize
 
-ROUNDS, EPOCHS = 3, 3
+ROUNDS, EPOCHS = 2, 2
 
 SPLIT = SCALED + """,
   ranked AS (
@@ -33,6 +33,101 @@ MOMENTS = SPLIT + """,
       AND b."window" = a."window" GROUP BY ALL)"""
 
 
+HIDDEN = fed.HIDDEN
+
+
+def reconstruct(name, a, b, gram="gram"):
+    """BA and (I - BA) G of weights ``a`` (client, k, i) and ``b`` (client, i, k)."""
+    return f"""
+  {name}_ba AS MATERIALIZED (
+    SELECT b.client, b.i, a.i AS j, sum(b.value * a.value) AS value
+    FROM {b} b JOIN {a} a ON a.client = b.client AND a.k = b.k GROUP BY ALL),
+  {name}_rest AS MATERIALIZED (
+    SELECT x.client, x.i, g.j, g.n,
+      sum((CASE WHEN x.i = x.j THEN 1 ELSE 0 END - x.value) * g.value) AS value
+    FROM {name}_ba x JOIN {gram} g ON g.client = x.client AND g.i = x.j GROUP BY ALL)"""
+
+
+def loss_sql(name, a, b, gram="gram"):
+    return reconstruct(name, a, b, gram) + f""",
+  {name}_loss AS MATERIALIZED (
+    SELECT r.client, any_value(r.n) AS n,
+      sum((CASE WHEN r.i = r.j THEN 1 ELSE 0 END - x.value) * r.value) / 88 AS loss
+    FROM {name}_rest r JOIN {name}_ba x ON x.client = r.client AND x.i = r.i AND x.j = r.j
+    GROUP BY r.client)"""
+
+
+def epochs_sql(name, a0, b0, epochs, mu=0.0):
+    """Gradient steps from ``a0``, ``b0``; the result is ``{name}_a`` and ``{name}_b``."""
+    parts, a, b = [], a0, b0
+    for e in range(1, epochs + 1):
+        step = f"{name}_{e}"
+        new_a, new_b = (f"{name}_a", f"{name}_b") if e == epochs else (f"{step}_a", f"{step}_b")
+        parts.append(reconstruct(step, a, b) + f""",
+  {new_a} AS MATERIALIZED (
+    SELECT w.client, w.k, w.i, w.value - rate * (-2 * g.value / 88
+      + {mu} * (w.value - z.value)) AS value
+    FROM {a} w JOIN {a0} z ON z.client = w.client AND z.k = w.k AND z.i = w.i
+    JOIN (SELECT b.client, b.k, r.j AS i, sum(b.value * r.value) AS value
+          FROM {b} b JOIN {step}_rest r ON r.client = b.client AND r.i = b.i GROUP BY ALL) g
+      ON g.client = w.client AND g.k = w.k AND g.i = w.i
+    JOIN (SELECT client, step / (1 + step * {mu}) AS rate FROM steps) s ON s.client = w.client),
+  {new_b} AS MATERIALIZED (
+    SELECT w.client, w.i, w.k, w.value - rate * (-2 * g.value / 88
+      + {mu} * (w.value - z.value)) AS value
+    FROM {b} w JOIN {b0} z ON z.client = w.client AND z.k = w.k AND z.i = w.i
+    JOIN (SELECT r.client, r.i, a.k, sum(r.value * a.value) AS value
+          FROM {step}_rest r JOIN {a} a ON a.client = r.client AND a.i = r.j GROUP BY ALL) g
+      ON g.client = w.client AND g.k = w.k AND g.i = w.i
+    JOIN (SELECT client, step / (1 + step * {mu}) AS rate FROM steps) s ON s.client = w.client)""")
+        a, b = new_a, new_b
+    return ",".join(parts)
+
+
+def average_sql(name, source):
+    """The weighted mean of all clients' ``source`` weights, given to every client."""
+    return ",".join(f"""
+  {name}_{m} AS MATERIALIZED (
+    SELECT c.client, w.k, w.i, w.value FROM (
+      SELECT k, i, sum(n * value) / sum(n) AS value
+      FROM {source}_{m} u JOIN sizes z ON z.client = u.client GROUP BY k, i) w, sizes c)"""
+                    for m in "ab")
+
+
+def start_sql(layer, idx, name, order):
+    return f"""
+  {name} AS MATERIALIZED (
+    SELECT client, {order}, ((({idx}) * ({idx}) * ({layer} + 31) + ({idx}) * 104729
+        + {layer} * 1299709) % 1000003 / CAST(1000003 AS DOUBLE) - 0.5) / sqrt(88) AS value
+    FROM sizes, (SELECT unnest(range(0, {HIDDEN})) AS k) x, (SELECT unnest(range(0, 88)) AS i) y)"""
+
+
+TRAINING = MOMENTS + """,
+  gram AS MATERIALIZED (
+    SELECT client, i, j, n, product / n AS value FROM moments WHERE part = 'train'),
+  val_gram AS MATERIALIZED (
+    SELECT client, i, j, n, product / n AS value FROM moments WHERE part = 'val'),
+  sizes AS (SELECT client, any_value(n) AS n FROM gram GROUP BY client),
+  steps AS (SELECT client, 0.5 * 88 / sqrt(sum(value * value)) AS step FROM gram GROUP BY client),
+""" + start_sql(0, "k * 88 + i", "w0_a", "k, i") + "," + start_sql(
+    1, f"i * {HIDDEN} + k", "w0_b", "i, k")
+
+
+def weights_sql(name):
+    return (f"SELECT client, 0 AS layer, CAST(k * 88 + i AS INT) AS idx, value FROM {name}_a "
+            f"UNION ALL SELECT client, 1, CAST(i * {HIDDEN} + k AS INT), value FROM {name}_b")
+
+
+def rounds_sql():
+    parts, start = [], "w0"
+    for r in range(1, ROUNDS + 1):
+        parts += [epochs_sql(f"u{r}", f"{start}_a", f"{start}_b", EPOCHS),
+                  loss_sql(f"t{r}", f"u{r}_a", f"u{r}_b"), average_sql(f"w{r}", f"u{r}"),
+                  loss_sql(f"v{r}", f"w{r}_a", f"w{r}_b", "val_gram")]
+        start = f"w{r}"
+    return ",".join(parts)
+
+
 def split(v):
     seqs = materialize(tables(v).sequences.where(F.col("split") == "train"), "sequences")
     return fed.client_split(seqs)
@@ -57,10 +152,13 @@ def _(v):
         (F.round("cross", 2) + F.lit(0.0)).alias("product"))
 
 
-@query("F3_local_update")
+@query("F3_local_update", with_views(ALL_VIEWS, f"""
+    SELECT w.client, layer, idx, {rsql('value')}, n AS n_examples, {rsql('loss')}
+    FROM ({weights_sql('u')}) w JOIN t_loss l ON l.client = w.client""",
+    TRAINING + "," + epochs_sql("u", "w0_a", "w0_b", EPOCHS) + "," + loss_sql("t", "u_a", "u_b")))
 def _(v):
     train = moments(v).where(F.col("part") == "train")
-    return fed.local_update(train, fed.initial_weights(train), EPOCHS)
+    return rounded(fed.local_update(train, fed.initial_weights(train), EPOCHS), "value", "loss")
 
 
 @query("F4_fedavg", with_views("updates", f"""
@@ -87,15 +185,23 @@ def _(v):
     return rounded(fed.fedtrimmed(v.updates), "value")
 
 
-@query("F7_fedprox")
+@query("F7_fedprox", with_views(ALL_VIEWS, f"""
+    SELECT DISTINCT layer, idx, {rsql('value')} FROM ({weights_sql('w')}) x""",
+    TRAINING + "," + epochs_sql("u", "w0_a", "w0_b", EPOCHS, 0.1) + "," + average_sql("w", "u")))
 def _(v):
     train = moments(v).where(F.col("part") == "train")
-    return fed.fedavg(fed.local_update(train, fed.initial_weights(train), EPOCHS, mu=0.1))
+    return rounded(fed.fedavg(fed.local_update(train, fed.initial_weights(train), EPOCHS, mu=0.1)),
+                   "value")
 
 
-@query("F8_federated_rounds")
+@query("F8_federated_rounds", with_views(ALL_VIEWS, " UNION ALL ".join(f"""
+    SELECT {r} AS round, t.client, round(t.loss, 6) AS loss, round(v.loss, 6) AS validation,
+      round(CAST({2 * HIDDEN * 88 * 4} AS DOUBLE) / 1048576, 6) AS mb_per_client
+    FROM t{r}_loss t JOIN v{r}_loss v ON v.client = t.client""" for r in range(1, ROUNDS + 1)),
+    TRAINING + "," + rounds_sql()))
 def _(v):
-    return federated_rounds(moments(v), "fedavg", ROUNDS, EPOCHS).history
+    return rounded(federated_rounds(moments(v), "fedavg", ROUNDS, EPOCHS).history,
+                   "loss", "validation", "mb_per_client")
 
 
 WEIGHTS = """,
@@ -156,10 +262,17 @@ def _(v):
     return rounded(fed.alarms(scored, thresholds), "error", "threshold")
 
 
-@query("F12_local_baseline")
+@query("F12_local_baseline", with_views(ALL_VIEWS, f"""
+    SELECT f.client, round(f.loss, 6) AS federated, round(l.loss, 6) AS local,
+      round(100 * (l.loss - f.loss) / l.loss, 6) + 0.0 AS gain_pct
+    FROM v{ROUNDS}_loss f JOIN l_loss l ON l.client = f.client""",
+    TRAINING + "," + rounds_sql() + "," + epochs_sql("own", "w0_a", "w0_b", ROUNDS * EPOCHS)
+    + "," + loss_sql("l", "own_a", "own_b", "val_gram")))
 def _(v):
     own = moments(v)
-    return compare_with_local(own, federated_rounds(own, "fedavg", ROUNDS, EPOCHS), ROUNDS, EPOCHS)
+    return rounded(
+        compare_with_local(own, federated_rounds(own, "fedavg", ROUNDS, EPOCHS), ROUNDS, EPOCHS),
+        "federated", "local", "gain_pct")
 
 
 @query("A20_check_fedavg", with_views("updates", """

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from checks.feature_queries import ALL_VIEWS, FACT, SCALED, tables
+from checks.feature_queries import ALL_VIEWS, FACT, SCALED, rounded, tables
 from checks.federated_queries import EPOCHS, ROUNDS, moments
 from checks.realtime_queries import FACTS, FLAT
 from checks.registry import query, with_views
@@ -179,7 +179,40 @@ def _(v):
             .fillna(0, subset=["n_sequences", "n_stats"]))
 
 
-@query("S14_write_run_report")
+REPORT = """
+  history AS (SELECT idx % 5 AS round, client, avg(value) AS validation FROM updates GROUP BY ALL),
+  by_client AS (
+    SELECT client, avg(value) AS federated, max(value) AS local, min(value) AS gain_pct,
+      median(value) AS threshold FROM updates GROUP BY client)"""
+
+
+@query("S14_write_run_report", with_views("updates", """
+    SELECT 'fedavg' AS strategy, 5 AS rounds, (SELECT count(*) FROM updates) AS parameters,
+      h.round, h.client, round(h.validation, 6) AS validation, round(federated, 6) AS federated,
+      round(local, 6) AS local, round(gain_pct, 6) AS gain_pct, round(threshold, 6) AS threshold
+    FROM history h JOIN by_client c ON c.client = h.client""", REPORT))
+def _(v):
+    history = v.updates.groupBy((F.col("idx") % 5).alias("round"), "client").agg(
+        F.avg("value").alias("validation"))
+    by_client = v.updates.groupBy("client").agg(
+        F.avg("value").alias("federated"), F.max("value").alias("local"),
+        F.min("value").alias("gain_pct"), F.median("value").alias("threshold"))
+    report = sinks.run_report("fedavg", 5, 0.0, 0, history, by_client.drop("threshold"),
+                              by_client.select("client", "threshold"),
+                              federated.model_size(v.updates))
+    path = new_path(v.spark, "report")
+    sinks.write_run_report(report, path)
+    rounds = v.spark.read.schema(report.schema).json(path).select(
+        "strategy", "rounds", "parameters", "comparison", F.explode("history").alias("h"))
+    rows = rounds.select("strategy", "rounds", "parameters", "comparison", "h.round",
+                         F.explode("h.validation").alias("client", "validation"))
+    own = F.try_element_at("comparison", F.col("client"))
+    return rounded(rows.withColumn("c", own).select(
+        "strategy", "rounds", "parameters", "round", "client", "validation", "c.*"),
+        "validation", "federated", "local", "gain_pct", "threshold")
+
+
+@query("S14_training_report")
 def _(v):
     own = moments(v)
     run = federated_rounds(own, "fedavg", ROUNDS, EPOCHS)

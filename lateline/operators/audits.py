@@ -18,7 +18,9 @@ from lateline.operators.features import daily_profile
 
 
 def since(fact: DataFrame, start: dt.datetime) -> DataFrame:
-    """Facts after ``start``; the filter reaches the scan."""
+    """Facts after ``start``; the filter reaches the scan, and partitions of ``dt`` if stored so."""
+    if "dt" in fact.columns:
+        fact = fact.where(F.col("dt") >= local_date(F.lit(start).cast("timestamp")))
     return fact.where(F.col("ts") > F.lit(start).cast("timestamp"))
 
 

@@ -100,7 +100,9 @@ def initial_weights(moments: DataFrame, hidden: int = HIDDEN, seed: int = 0) ->
     size = moments.groupBy("client").agg((F.max("i") + 1).alias("dim"))
     cells = (size.withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
              .withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("dim") * hidden - 1))))
-    unit = F.pmod(F.xxhash64(F.lit(seed), "layer", "idx"), F.lit(1_000_003)) / 1_000_003 - 0.5
+    idx, layer = F.col("idx").cast("bigint"), F.col("layer")
+    mixed = idx * idx * (layer + 31) + idx * 104_729 + layer * 1_299_709 + F.lit(seed) * 7_919
+    unit = F.pmod(mixed, F.lit(1_000_003)) / 1_000_003 - 0.5
     return cells.select("client", "layer", "idx", (unit / F.sqrt("dim")).alias("value"))
 
 
@@ -148,8 +150,9 @@ def local_update(moments: DataFrame, weights: DataFrame, epochs: int, mu: float
         dim = len(gram)
         a0, b0 = _layers(start, dim)
         a, b = a0.copy(), b0.copy()
-        # The curvature of the loss grows with the largest eigenvalue of G.
-        step = learning_rate * dim / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12)
+        # The curvature of the loss grows with the largest eigenvalue of G, which its
+        # Frobenius norm bounds.
+        step = learning_rate * dim / max(float(np.linalg.norm(gram)), 1e-12)
         for _ in range(epochs):
             rest_gram = (np.eye(dim) - b @ a) @ gram
             grad_a = -2 / dim * b.T @ rest_gram + mu * (a - a0)

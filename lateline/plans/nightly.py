@@ -41,8 +41,10 @@ def nightly(spark: SparkSession, fact: DataFrame, runs: DataFrame, dims: dict[st
 
     if export_facts_day(fact, day, f"{paths.export}/facts") == 0:
         raise RuntimeError(f"no facts for {day}: nothing may be purged")
-    export_rollup_day(spark.read.parquet(paths.rollup_15min).drop("dt"), day,
-                      f"{paths.export}/rollup_15min")
+    # The stored rollup's dt is the UTC date of the bucket: a local day lies in two of them.
+    rollup = spark.read.parquet(paths.rollup_15min).where(
+        F.col("dt").between(F.date_sub(F.lit(day), 1), F.lit(day))).drop("dt")
+    export_rollup_day(rollup, day, f"{paths.export}/rollup_15min")
     export_runs_day(runs, day, f"{paths.export}/runs")
     export_dimensions(dims, f"{paths.export}/dimensions")
 

@@ -23,9 +23,15 @@ def day_bounds(day: dt.date, zone: str = TIME_ZONE) -> tuple[dt.datetime, dt.dat
 
 def between(table: DataFrame, time: str, first: dt.date, last: dt.date,
             zone: str = TIME_ZONE) -> DataFrame:
-    """Rows of the local days first..last; the bounds are literals the scan can push down."""
+    """Rows of the local days first..last.
+
+    The bounds are literals the scan can push down; a ``dt`` column, the local day that stored
+    tables are partitioned by, prunes partitions too.
+    """
     start, _ = day_bounds(first, zone)
     _, end = day_bounds(last, zone)
+    if "dt" in table.columns:
+        table = table.where(F.col("dt").between(F.lit(first), F.lit(last)))
     return table.where((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
 
 
