@@ -12,10 +12,14 @@ from lateline.sources import packages
 UTC = dt.timezone.utc
 
 
+PLAIN = {"epoch_us(ts)", "version_id", "stop_sequence", "service_date", "delay_s", "day_offset"}
+
+
 def digest_sql(source, columns, by=""):
-    """The content digest in SQL; ``columns`` are expressions."""
+    """The content digest in SQL; ``columns`` are expressions, strings unless in PLAIN."""
     encoded = " || '|' || ".join(
-        f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+        f"coalesce(CAST({c} AS VARCHAR), '-')" if c in PLAIN else
+        f"coalesce(CAST(length({c}) AS VARCHAR) || ':' || {c}, '-')"
         for c in columns)
     sums = " || '|' || ".join(
         f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS HUGEINT)) AS VARCHAR)"

@@ -18,7 +18,10 @@ def local_time(ts: Column | str, zone: str = TIME_ZONE) -> Column:
 
 
 def local_date(ts: Column | str, zone: str = TIME_ZONE) -> Column:
-    return local_time(ts, zone).cast("date")
+    """Date of an instant in ``zone``; a shift and a division, cheap enough for every fact."""
+    shifted = F.unix_micros(F.from_utc_timestamp(col(ts), zone))
+    day = 86_400_000_000
+    return F.date_from_unix_date(((shifted - F.pmod(shifted, F.lit(day))) / day).cast("int"))
 
 
 def local_midnight(day: Column | str, zone: str = TIME_ZONE) -> Column:

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampType
+from pyspark.sql.types import StringType, TimestampType
 
 _WORDS = 8
 
 
 def _encoded(df: DataFrame, name: str) -> Column:
-    """Length-prefixed text; a null differs from every text, also from the empty one."""
-    value = F.col(name)
-    if isinstance(df.schema[name].dataType, TimestampType):
-        value = F.unix_micros(value)
+    """Text of a value, "-" for null; strings carry their length, so that none looks like
+    another value, a null or two columns."""
+    kind = df.schema[name].dataType
+    value = F.unix_micros(name) if isinstance(kind, TimestampType) else F.col(name)
     text = value.cast("string")
-    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+    if isinstance(kind, StringType):
+        text = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+    return F.coalesce(text, F.lit("-"))
 
 
 def content_digest(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:

@@ -15,6 +15,9 @@ from lateline.schema import DELAY_FACT, FACT_KEY, RUN_LOG
 FACT_COLUMNS = DELAY_FACT.fieldNames()
 _SCHEDULE_COLUMNS = ["trip_id", "stop_sequence", "stop_id", "line_id", "operator_id",
                      "direction", "day_offset", "version_id"]
+# The planner takes exploded messages for as small as their file and would broadcast any number
+# of updates. A merge join spills, and AQE splits its hot partitions.
+_JOIN = "merge"
 
 
 def new_snapshots(polls: DataFrame, order: list[str], processed: int | None = None) -> DataFrame:
@@ -78,14 +81,15 @@ def match_schedule(updates: DataFrame, lookup: DataFrame, version: int) -> DataF
 
     The feed names no stop, so the match is on (trip, sequence).
     """
-    matched = updates.join(unique_stops(lookup, version), ["trip_id", "stop_sequence"])
+    stops = unique_stops(lookup, version).hint(_JOIN)
+    matched = updates.join(stops, ["trip_id", "stop_sequence"])
     return matched.withColumn("service_date", service_date("ts", "day_offset"))
 
 
 def expand_canceled(snapshots: DataFrame, lookup: DataFrame, version: int) -> DataFrame:
     """A CANCELED row for every scheduled stop of a canceled trip."""
     trips = trip_updates(snapshots).where("canceled").select("ts", "entity_no", "trip_id")
-    stops = lookup.where(F.col("version_id") == version).select(*_SCHEDULE_COLUMNS)
+    stops = lookup.where(F.col("version_id") == version).select(*_SCHEDULE_COLUMNS).hint(_JOIN)
     return (trips.join(stops, "trip_id")
             .withColumn("service_date", service_date("ts", "day_offset"))
             .withColumn("delay_s", F.lit(None).cast("int"))

@@ -80,15 +80,18 @@ def refresh_between(stored: DataFrame, source: DataFrame, kind: str, start: Colu
     def inside(c):
         return (F.col(c) >= low) & (F.col(c) < high)
 
+    if source_time == "ts" and "dt" in source.columns:
+        # Stored facts: their local day prunes partitions.
+        source = source.where(F.col("dt").between(local_date(low), local_date(high)))
     fresh = rollup(source.where(inside(source_time)))
     return stored.where(~inside(time)).unionByName(fresh.select(*stored.columns))
 
 
 def _whole_buckets(start: Column, end: Column, seconds: int) -> tuple[Column, Column]:
     width = seconds * 1_000_000
-    low = F.ceil(F.unix_micros(start) / width).cast("bigint") * width
-    high = F.floor(F.unix_micros(end) / width).cast("bigint") * width
-    return F.timestamp_micros(low), F.timestamp_micros(high)
+    first, last = F.unix_micros(start), F.unix_micros(end)
+    return (F.timestamp_micros(first + F.pmod(-first, F.lit(width))),
+            F.timestamp_micros(last - F.pmod(last, F.lit(width))))
 
 
 def refresh_window(stored: DataFrame, source: DataFrame, kind: str, now: dt.datetime,

@@ -82,6 +82,13 @@ def test_hot_trip_is_split(spark, stored):
             spark.conf.unset(key)
 
 
+def test_exploded_updates_are_not_broadcast(spark, stored):
+    v, _, lookup = stored
+    feed = materialize(v.snapshots, "snapshots")
+    plan = planned(realtime.process_feed(feed, lookup, 1))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_no_cross_joins(stored):
     v, fact, lookup = stored
     facts = features.assign_window(features.assign_client(fact, v.client_map))
