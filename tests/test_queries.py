@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import compare, duck
+from checks.registry import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -13,9 +14,9 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    problem, _ = compare(spark, con, SF_DIR, entry.queries()[name], entry.oracle_sql().get(name))
+    problem, _ = compare(spark, con, SF_DIR, QUERIES[name], ORACLES.get(name))
     assert problem is None, problem
 
 
@@ -24,4 +25,9 @@ def test_entry(spark):
 
 
 def test_only_the_training_report_lacks_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"S14_training_report"}
+    assert set(QUERIES) - set(ORACLES) == {"S14_training_report"}
+
+
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLES) <= set(entry.oracle_sql())
