@@ -2,7 +2,7 @@
 
 Every distinct SHA-256 digest of the history gets one slot of a minimal perfect hash. Digests are
 dealt to shards of about 256 keys; a shard of m keys has m slots and one small integer (the pilot)
-per bucket of about four keys, chosen so that no two keys share a slot. A slot holds the full
+per bucket of about two keys, chosen so that no two keys share a slot. A slot holds the full
 digest and the locator of the row that stays. A row is looked up by computing its slot and
 comparing all bytes of the digest; rows whose digest is not in the history group separately.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lateline.session import materialize
 
 KEYS_PER_SHARD = 256
-KEYS_PER_BUCKET = 4
+KEYS_PER_BUCKET = 2
 PRIME = 2**31 - 1
 MAX_PILOT = 2**15
 
