@@ -2,23 +2,53 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lateline.llm import exact_dedup, mixing, pii, simhash, url_filter
+from lateline.llm import (
+    decontamination, exact_dedup, html_text, mixing, pii, simhash, token_counts, toxicity, url_filter,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, table: str, sql: str | None = None):
+#: Where the public vocabularies lie; a parameter of the deployment.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+
+
+def query(name: str, tables: str, sql: str | None = None):
     def register(build):
-        QUERIES[name] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        QUERIES[name] = lambda spark, sf_dir: build(
+            *(spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables.split()))
         if sql is not None:
             ORACLES[name] = sql
         return build
     return register
 
 
+@query("op1_token_counts", "documents")
+def op1(documents: DataFrame) -> DataFrame:
+    vocabulary = token_counts.load_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.token_counts(documents, vocabulary)
+
+
+@query("op2_decontamination", "documents benchmark")
+def op2(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontamination.find_leaks(documents, benchmark)
+
+
+@query("op5_html_text", "pages")
+def op5(pages: DataFrame) -> DataFrame:
+    return html_text.visible_text(pages)
+
+
+@query("op6_toxicity", "documents labels")
+def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.toxicity(documents, labels)
+
+
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
