@@ -1,16 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to ``FEATURES`` features, weighted by the inverse document frequency over all
-documents. A randomised SVD (range finder with power iterations, as sums over Spark tasks) of a
-bounded sample of passages gives a latent basis of ``RANK`` directions. Every document is cut into
-overlapping passages of about twice an item's length, so that one of them holds a copied item as a
-whole; passages and items meet by cosine in the latent space. A candidate is then checked on its
-words: the longest common subsequence with the item, and with the item's answer (its last
-sentence), so that paraphrases that keep the answer count at a lower share.
-
-Only the basis comes from a sample (``FIT_ROWS`` documents and items by hash of their text); the
-frequencies cover all documents, and the search all passages of all documents against all items,
-in blocks of ``ITEMS`` items.
+Words are hashed to ``FEATURES`` features, weighted by the squared inverse document frequency over
+all documents. A randomised SVD (range finder with power iterations, as sums over Spark tasks) of
+the passages searched for gives a latent basis of ``RANK`` directions. A basis of document
+passages would spend its directions on languages and topics: copied items then lie no closer than
+chance. Every document is cut into overlapping passages of about twice an item's length, so that
+one of them holds a copied item as a whole; passages and items meet by cosine in the latent space.
+A candidate is then checked on its words: the longest common subsequence with the item, and with
+the item's answer (its last sentence), so that paraphrases that keep the answer count at a lower
+share.
+
+Nothing is sampled: the frequencies cover all documents, and the search all passages of all
+documents against all items, in blocks of about ``ITEMS`` items, each with a basis of its own.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from lateline.session import materialize
 
-FEATURES, RANK, EXTRA, ROUNDS = 1 << 14, 64, 16, 2
-FIT_ROWS, FIT_CHARS, FIT_WORDS = 1000, 20_000, 64
+FEATURES, RANK, EXTRA, ROUNDS = 1 << 16, 64, 16, 2
+FIT_WORDS = 64
 STEP = 8
-COSINE = 0.5
+COSINE = 0.6
 SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
-ITEMS = 4096
+ITEMS = 1024
 BLOCK_WORDS = 100_000
 KEPT_WORDS = 300_000
 SEED = 5
@@ -86,19 +87,19 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:FEATURES], int(out[FEATURES])
 
 
-def _project(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _project(passages: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) for the unit TF-IDF rows A of ``passages``, summed over the tasks' parts."""
-    held = passages.sparkSession.sparkContext.broadcast((idf, basis))  # fixed size
+    held = passages.sparkSession.sparkContext.broadcast((weight, basis))  # fixed size
     width = basis.shape[1]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, basis = held.value
+        weight, basis = held.value
         features, total = Features(), np.zeros((FEATURES, width))
         for text in _texts(batches):
             ids = features.of(words_of(text))
             for start in range(0, len(ids), FIT_WORDS):
                 f, n = np.unique(ids[start:start + FIT_WORDS], return_counts=True)
-                row = n * idf[f]
+                row = n * weight[f]
                 norm = np.linalg.norm(row)
                 if norm > 0:
                     row = row / norm
@@ -117,16 +118,12 @@ def _project(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndar
     return out
 
 
-def latent_basis(docs: DataFrame, items: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """The leading right singular vectors of the sampled passages, FEATURES x RANK."""
-    by_hash = F.xxhash64("text", F.lit(SEED))
-    parts = [df.filter(F.length("text").between(1, FIT_CHARS)).select("text")
-             .orderBy(by_hash, "text").limit(FIT_ROWS) for df in (docs, items)]
-    sample = materialize(parts[0].unionByName(parts[1]), "latent-sample")
+def latent_basis(passages: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of the TF-IDF passages, FEATURES x RANK."""
     q = np.random.default_rng(SEED).standard_normal((FEATURES, RANK + EXTRA))
     for _ in range(ROUNDS):
-        q = np.linalg.qr(_project(sample, idf, q))[0]
-    small = q.T @ _project(sample, idf, q)
+        q = np.linalg.qr(_project(passages, weight, q))[0]
+    small = q.T @ _project(passages, weight, q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, np.argsort(-values)[:RANK]]
 
@@ -136,6 +133,7 @@ class Item:
     item_id: object
     words: list[str]
     answer: list[str]
+    counts: Counter
 
 
 @dataclass
@@ -151,14 +149,14 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norm > 0, norm, 1)
 
 
-def build_index(rows: list, idf: np.ndarray, basis: np.ndarray) -> Index:
-    weighted = (idf[:, None] * basis).astype(np.float32)
+def build_index(rows: list, weight: np.ndarray, basis: np.ndarray) -> Index:
+    weighted = (weight[:, None] * basis).astype(np.float32)
     features, grouped = Features(), {}
     for item_id, text in rows:
         words = words_of(text)
         if words:
             answer = words_of(SENTENCE_END.split(text.strip())[-1])
-            grouped.setdefault(-(-len(words) // STEP), []).append(Item(item_id, words, answer))
+            grouped.setdefault(-(-len(words) // STEP), []).append(Item(item_id, words, answer, Counter(words)))
     return Index(weighted, {
         steps: (items, _unit(np.stack([weighted[features.of(i.words)].sum(0) for i in items])))
         for steps, items in grouped.items()})
@@ -179,10 +177,8 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 def judge(item: Item, passage: list[str]) -> float | None:
     """The share of the item's words the passage keeps in order, if that makes it a leak."""
-    held = Counter(item.words)
-    held &= Counter(passage)
     n = len(item.words)
-    if held.total() < PARAPHRASE * n:
+    if sum(map(item.counts.__getitem__, item.counts.keys() & set(passage))) < PARAPHRASE * n:
         return None
     share = lcs(item.words, passage) / n
     if share >= SAME or (share >= PARAPHRASE and len(item.answer) < n
@@ -251,14 +247,14 @@ def search(index: Index, texts: Iterator[str | None]) -> Iterator[list[dict]]:
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     """One index per block of items; each has about ITEMS items, whatever the benchmark's size."""
     df, n = document_frequencies(docs)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    basis = latent_basis(docs, benchmark, idf)
-    blocks = max(1, math.ceil(benchmark.count() / ITEMS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    weight = (np.log((n + 1) / (df + 1)) + 0.1) ** 2
+    items = materialize(benchmark.filter(F.col("text").isNotNull())
+                        .select("item_id", "text").distinct(), "items")
+    blocks = max(1, math.ceil(items.count() / ITEMS))
     for k in range(blocks):
-        rows = (benchmark.filter(F.col("text").isNotNull()).filter(block == k)
-                .select("item_id", "text").distinct().orderBy("item_id", "text").collect())
-        yield build_index([tuple(r) for r in rows], idf, basis)
+        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = [tuple(r) for r in block.orderBy("item_id", "text").collect()]
+        yield build_index(rows, weight, latent_basis(block, weight))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
