@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lateline.llm import (
-    decontamination, exact_dedup, html_text, mixing, pii, simhash, token_counts, toxicity, url_filter,
+    decontamination, exact_dedup, html_text, mixing, pii, simhash, substring_dedup, token_counts, toxicity,
+    url_filter,
 )
 
 QUERIES: dict = {}
@@ -39,6 +40,11 @@ def op2(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return decontamination.find_leaks(documents, benchmark)
 
 
+@query("op3_substring_dedup", "documents")
+def op3(documents: DataFrame) -> DataFrame:
+    return substring_dedup.dedup_substrings(documents).drop("kept_text")
+
+
 @query("op5_html_text", "pages")
 def op5(pages: DataFrame) -> DataFrame:
     return html_text.visible_text(pages)
