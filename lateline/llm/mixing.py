@@ -3,7 +3,8 @@
 Every source has a weight and a cap (its size times the largest number of epochs). Sources that
 their share would push above the cap stop there; what is left is shared by weight among the
 others until none is above. Sorted by cap / weight, the stopped sources are a prefix, so running
-sums over the table of sources give the result in one pass.
+sums over the table of sources give the result in one pass: from the first source that its level
+does not fill, levels only fall, so the shared level is the highest of those.
 
 A document is taken as often as whole epochs fit, and once more if it lies before the point where
 the fraction of its source is used up, in the order of a seeded hash. That point is found from
@@ -54,7 +55,7 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
                 "open": F.sum("weight").over(whole)
                 - F.coalesce(F.sum("weight").over(before), F.lit(0.0))})
             .withColumn("level", F.col("left") / F.col("open"))
-            .withColumn("shared", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"),
+            .withColumn("shared", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"),
                                                F.col("level"))).over(whole))
             .withColumn("target", F.when(F.col("ratio") <= F.col("shared"), F.col("cap"))
                         .otherwise(F.least("cap", F.coalesce("shared", F.col("ratio"))

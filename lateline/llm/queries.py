@@ -68,7 +68,7 @@ l AS (SELECT *, cap / weight AS ratio,
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, n, CASE WHEN ratio <= shared THEN cap
   ELSE least(cap, coalesce(shared, ratio) * weight) END AS target
-  FROM (SELECT *, min(CASE WHEN level * weight <= cap THEN level END) OVER () AS shared FROM l)),
+  FROM (SELECT *, max(CASE WHEN level * weight <= cap THEN level END) OVER () AS shared FROM l)),
 f AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, f.n, f.target, f.whole, f.target - f.whole * f.n AS rest,
   sum(d.size) OVER (PARTITION BY d.source ORDER BY k, doc_id, d.size
