@@ -36,11 +36,11 @@ def nightly(spark: SparkSession, fact: DataFrame, runs: DataFrame, dims: dict[st
     """
     start = day_bounds(day)[0] - dt.timedelta(hours=1)
     end = now - dt.timedelta(minutes=10)
-    refresh_stored(spark, paths.rollup_15min, fact, "15min", start, end)
-    refresh_stored(spark, paths.rollup_15min_stop, fact, "15min_stop", start, end)
-
+    # First, so that a run for a purged day refuses before it touches the rollups.
     if export_facts_day(fact, day, f"{paths.export}/facts") == 0:
         raise RuntimeError(f"no facts for {day}: nothing may be purged")
+    refresh_stored(spark, paths.rollup_15min, fact, "15min", start, end)
+    refresh_stored(spark, paths.rollup_15min_stop, fact, "15min_stop", start, end)
     # The stored rollup's dt is the UTC date of the bucket: a local day lies in two of them.
     rollup = spark.read.parquet(paths.rollup_15min).where(
         F.col("dt").between(F.date_sub(F.lit(day), 1), F.lit(day))).drop("dt")

@@ -86,7 +86,8 @@ def schedule_run(spark: SparkSession, root: str, packages: list[str], paths: War
     if added:
         empty = spark.createDataFrame([], SCHEDULE_LOOKUP)
         (ops.append_lookup(empty, lookup, versions, registered)
-         .write.mode("append").partitionBy("version_id").parquet(table))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("version_id").parquet(table))  # a repeated run replaces its version
     if added:
         export_lookup_snapshot(lookup, active, today, paths.snapshots)
     registered.write.mode("overwrite").parquet(register)
