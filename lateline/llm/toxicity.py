@@ -30,7 +30,7 @@ FOLDS = 5
 WINDOW, STRIDE = 32, 24
 HIDDEN, INPUTS = 8, 6
 WORD_BITS, GRAM_BITS = 17, 18
-GRAMS = (3, 4, 5)
+GRAMS = (3, 4, 5, 6)
 EPOCHS, BATCH, SEED = 14, 256, 11
 BLOCK_WORDS = 150_000
 EDGES = ".,;:!?\"'()[]{}<>*#$%&-_|"
@@ -63,10 +63,13 @@ class Vocabulary:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word slots, sequence slots, the word each sequence belongs to, and word lengths."""
-        words = [w.strip(EDGES).encode("utf-8", "surrogatepass") for w in self.ids]
-        slots = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & ((1 << WORD_BITS) - 1)
+        words = [w.strip(EDGES) for w in self.ids]
+        slots = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words),
+                            np.int64, len(words)) & ((1 << WORD_BITS) - 1)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        chars = np.frombuffer(b"".join([b"<%b>" % w for w in words]), np.uint8).astype(np.int64)
+        # Code points, so that a sequence spans as many letters in every script.
+        marked = "".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass")
+        chars = np.frombuffer(marked, np.uint32).astype(np.int64)
         owner = np.repeat(np.arange(len(words)), lengths + 2)
         grams, owners = [], []
         for n in GRAMS:
