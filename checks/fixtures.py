@@ -72,7 +72,7 @@ VIEWS = {
         FROM {nation}""",
     "run_log": """
         SELECT ts AS started_at, ts AS snapshot_ts, CAST(event_id % 50 AS INT) AS n_observed,
-          CAST(event_id % 40 AS INT) AS n_inserted, CAST(0.5 AS DECIMAL(6, 3)) AS seconds,
+          CAST(event_id % 40 AS INT) AS n_inserted, CAST(0.5 AS DECIMAL(12, 3)) AS seconds,
           CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'view' THEN 'SKIPPED' ELSE 'OK' END
             AS status, CAST(NULL AS STRING) AS error
         FROM {events}""",

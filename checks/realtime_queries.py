@@ -119,7 +119,7 @@ def _(v):
     SELECT started_at, snapshot_ts,
       CASE WHEN error IS NULL AND fresh THEN n_observed ELSE 0 END AS n_observed,
       CASE WHEN error IS NULL AND fresh THEN n_inserted ELSE 0 END AS n_inserted,
-      CAST((epoch_us(finished_at) - epoch_us(started_at)) / 1000000 AS DECIMAL(6, 3)) AS seconds,
+      CAST((epoch_us(finished_at) - epoch_us(started_at)) / 1000000 AS DECIMAL(12, 3)) AS seconds,
       CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN fresh THEN 'OK' ELSE 'SKIPPED' END AS status,
       substr(error, 1, 500) AS error
     FROM batch_stats"""))

@@ -152,7 +152,7 @@ def log_run(batches: DataFrame) -> DataFrame:
         "started_at", "snapshot_ts",
         F.when(done, F.col("n_observed")).otherwise(0).cast("int").alias("n_observed"),
         F.when(done, F.col("n_inserted")).otherwise(0).cast("int").alias("n_inserted"),
-        F.round(seconds, 3).cast("decimal(6,3)").alias("seconds"),
+        F.round(seconds, 3).cast(RUN_LOG["seconds"].dataType).alias("seconds"),
         F.when(failed, "ERROR").when(F.col("fresh"), "OK").otherwise("SKIPPED").alias("status"),
         F.substring("error", 1, ERROR_TEXT_LENGTH).alias("error"),
     ).select(*RUN_LOG.fieldNames())

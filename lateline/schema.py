@@ -50,7 +50,7 @@ FACT_KEY = ["trip_id", "stop_id", "stop_sequence", "ts"]
 RUN_LOG = _struct(
     ("started_at", TimestampType()), ("snapshot_ts", TimestampType()),
     ("n_observed", IntegerType()), ("n_inserted", IntegerType()),
-    ("seconds", DecimalType(6, 3)), ("status", StringType()), ("error", StringType()))
+    ("seconds", DecimalType(12, 3)),("status", StringType()), ("error", StringType()))
 
 FEED = StructType([
     StructField("header", _struct(("timestamp", LongType()))),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructType
 
-from lateline.constants import ERROR_TEXT_LENGTH, RUN_ERROR, RUN_OK, RUN_SKIPPED
+from lateline.constants import RUN_OK
 from lateline.functions.clock import local_date
 from lateline.operators.realtime import (
-    FACT_COLUMNS, current_version, insert_new_facts, new_snapshots, process_feed,
+    FACT_COLUMNS, current_version, insert_new_facts, log_run, new_snapshots, process_feed,
 )
 from lateline.schema import DELAY_FACT, RUN_LOG, SCHEDULE_LOOKUP, SCHEDULE_VERSION
 from lateline.session import materialize
@@ -38,37 +38,46 @@ def process_batch(batch: DataFrame, paths: RealtimePaths) -> None:
 
     The highest processed header time lives in the run log, so it survives restarts. The
     version register is read every time; a new schedule version takes effect with the next
-    batch. A failing batch is logged and does not end the stream.
+    batch. A failing batch is logged and raised again, so that its files stay uncommitted and a
+    restarted stream takes them once more.
+
+    The log holds one row per (arrival, header time) that was processed, and one per attempt that
+    failed, which starts at the time of the attempt.
     """
     spark = batch.sparkSession
     began = dt.datetime.now(dt.timezone.utc)
     polls = materialize(
         batch.withColumn("header_ts", F.col("header.timestamp")), "polls")
-    if paths.archive:
-        archive_snapshots(polls.select(
-            F.lit("tripUpdates").alias("kind"), "header_ts",
-            F.to_json(F.struct("header", "entity")).alias("payload")), paths.archive)
     runs = read_or_empty(spark, paths.runs, RUN_LOG)
-    known = polls.select("header_ts", F.col("arrived_at").alias("started_at"))
     try:
+        if paths.archive:
+            archive_snapshots(polls.select(
+                F.lit("tripUpdates").alias("kind"), "header_ts",
+                F.to_json(F.struct("header", "entity")).alias("payload")), paths.archive)
         fresh, observed, inserted = _insert(spark, polls, runs, paths)
-        status = F.when(F.col("n_observed").isNotNull(), RUN_OK).otherwise(RUN_SKIPPED)
-        log = (known.join(fresh, ["header_ts", "started_at"], "left")
-               .join(observed, "header_ts", "left").join(inserted, "header_ts", "left")
-               .withColumn("n_observed", F.when(F.col("fresh"), F.coalesce("n_observed", F.lit(0))))
-               .withColumn("status", status).withColumn("error", F.lit(None).cast("string")))
-    except Exception as error:  # the log tells; the stream goes on
-        log = (known.withColumn("n_observed", F.lit(0)).withColumn("n_inserted", F.lit(0))
-               .withColumn("status", F.lit(RUN_ERROR))
-               .withColumn("error", F.lit(str(error)[:ERROR_TEXT_LENGTH])))
-    seconds = (dt.datetime.now(dt.timezone.utc) - began).total_seconds()
-    rows = log.select(
-        "started_at", F.timestamp_seconds("header_ts").alias("snapshot_ts"),
-        F.coalesce("n_observed", F.lit(0)).cast("int").alias("n_observed"),
-        F.coalesce(F.when(F.col("status") == RUN_OK, F.col("n_inserted")), F.lit(0))
-        .cast("int").alias("n_inserted"),
-        F.lit(min(round(seconds, 3), 999.999)).cast("decimal(6,3)").alias("seconds"),
-        "status", "error")
+    except Exception as error:
+        failed = (polls.select("header_ts").distinct()
+                  .withColumns({"started_at": F.lit(began), "fresh": F.lit(True),
+                                "n_observed": F.lit(0), "n_inserted": F.lit(0)}))
+        _append_log(failed, runs, paths, began, str(error))
+        raise
+    # Files that share arrival and header time are one run.
+    known = polls.select("header_ts", F.col("arrived_at").alias("started_at")).distinct()
+    done = (known.join(fresh, ["header_ts", "started_at"], "left")
+            .join(observed, "header_ts", "left").join(inserted, "header_ts", "left")
+            .withColumns({"fresh": F.coalesce("fresh", F.lit(False)),
+                          "n_observed": F.coalesce("n_observed", F.lit(0)),
+                          "n_inserted": F.coalesce("n_inserted", F.lit(0))}))
+    _append_log(done, runs, paths, began)
+
+
+def _append_log(batches: DataFrame, runs: DataFrame, paths: RealtimePaths, began: dt.datetime,
+                error: str | None = None) -> None:
+    """Append the log rows whose key the log does not hold yet."""
+    rows = log_run(batches.withColumns({
+        "snapshot_ts": F.timestamp_seconds("header_ts"), "error": F.lit(error).cast("string"),
+        "finished_at": F.col("started_at") + F.make_dt_interval(secs=F.lit(
+            (dt.datetime.now(dt.timezone.utc) - began).total_seconds()))}))
     key = ["started_at", "snapshot_ts"]
     (rows.join(runs.select(*key), key, "left_anti").select(*RUN_LOG.fieldNames())
      .write.mode("append").parquet(paths.runs))

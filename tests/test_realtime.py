@@ -112,14 +112,69 @@ def test_stream_equals_batch_and_replays(spark, lookup, tmp_path):
     assert facts() == want and spark.read.parquet(paths.runs).count() == 5
 
 
-def test_failing_batch_is_logged(spark, tmp_path):
-    paths = RealtimePaths(**{n: str(tmp_path / n) for n in (
-        "snapshots", "versions", "lookup", "facts", "runs", "checkpoint")})
-    os.makedirs(paths.snapshots)
-    (tmp_path / "snapshots" / "a.json").write_text(json.dumps(message(T0)))
-    process_batch(read_snapshots(spark, paths.snapshots), paths)
+@pytest.fixture
+def paths(tmp_path):
+    os.makedirs(tmp_path / "snapshots")
+    return RealtimePaths(**{n: str(tmp_path / n) for n in (
+        "snapshots", "versions", "lookup", "facts", "runs", "checkpoint", "archive")})
+
+
+def register(spark, paths, lookup):
+    now = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+    spark.createDataFrame([(1, "p", None, None, "f", now)], SCHEDULE_VERSION) \
+        .write.parquet(paths.versions)
+    lookup.write.parquet(paths.lookup)
+
+
+def write_message(paths, name, ts, seconds, *entities):
+    file = f"{paths.snapshots}/{name}.json"
+    with open(file, "w") as out:
+        out.write(json.dumps(message(ts, *entities)))
+    os.utime(file, (seconds, seconds))
+
+
+def test_failing_batch_is_logged_and_taken_again(spark, lookup, paths):
+    write_message(paths, "a", T0, T0 + 60, update("t1", stop(1, 30)))
+
+    def run():
+        start_realtime(spark, paths, {"availableNow": True}).awaitTermination()
+
+    with pytest.raises(Exception, match="no schedule version"):
+        run()
     row = spark.read.parquet(paths.runs).first()
     assert row.status == "ERROR" and "no schedule version" in row.error
+    register(spark, paths, lookup)
+    run()
+    assert [r.delay_s for r in spark.read.parquet(paths.facts).collect()] == [30]
+    log = {r.status: (r.n_observed, r.n_inserted) for r in spark.read.parquet(paths.runs).collect()}
+    assert log == {"ERROR": (0, 0), "OK": (1, 1)}
+
+
+def test_failing_archive_is_logged(spark, lookup, paths):
+    register(spark, paths, lookup)
+    write_message(paths, "a", T0, T0 + 60, update("t1", stop(1, 30)))
+    with open(paths.archive, "w") as out:
+        out.write("in the way")
+    with pytest.raises(Exception):
+        process_batch(read_snapshots(spark, paths.snapshots), paths)
+    assert [r.status for r in spark.read.parquet(paths.runs).collect()] == ["ERROR"]
+
+
+def test_equal_arrival_and_header_time_is_one_run(spark, lookup, paths):
+    register(spark, paths, lookup)
+    for name in "ab":
+        write_message(paths, name, T0, T0 + 60, update("t1", stop(1, 30)))
+    process_batch(read_snapshots(spark, paths.snapshots), paths)
+    assert [(r.status, r.n_inserted) for r in spark.read.parquet(paths.runs).collect()] == [("OK", 1)]
+
+
+def test_long_runs_keep_their_seconds(spark):
+    start = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
+    row = (start, start + dt.timedelta(seconds=5000), start, True, 1, 1, None)
+    batches = spark.createDataFrame([row], "started_at timestamp, finished_at timestamp, "
+                                    "snapshot_ts timestamp, fresh boolean, n_observed int, "
+                                    "n_inserted int, error string")
+    assert float(ops.log_run(batches).first().seconds) == 5000
 
 
 def test_stream_rollup_drops_only_late_facts(spark, tmp_path):
