@@ -222,16 +222,12 @@ def model_size(weights: DataFrame) -> DataFrame:
         .withColumn("mb", F.col("n_parameters") * 4 / 1_048_576)
 
 
-def reconstruction_error(seqs: DataFrame, weights: DataFrame,
-                         max_parameters: int = 1_000_000) -> DataFrame:
+def reconstruction_error(seqs: DataFrame, weights: DataFrame) -> DataFrame:
     """Add ``error``: the mean squared difference between x and its reconstruction.
 
-    The model has a fixed number of parameters whatever the data; it goes to the tasks as a
-    broadcast variable after that number is checked.
+    The model has twice ``hidden`` times the sequence width parameters whatever the data, so it
+    goes to the tasks as a broadcast variable.
     """
-    size = weights.count()
-    if size > max_parameters:
-        raise ValueError(f"{size} parameters are more than max_parameters={max_parameters}")
     local = weights.select("layer", "idx", "value").toPandas()
     shared = seqs.sparkSession.sparkContext.broadcast(local)
     columns = seqs.columns

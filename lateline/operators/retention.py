@@ -34,10 +34,15 @@ def verify_export(source: DataFrame, copy: DataFrame, time: str = "ts",
 
 def purgeable_days(fact: DataFrame, verified: DataFrame, now: dt.datetime,
                    hours: int = FACT_RETENTION_HOURS, zone: str = TIME_ZONE) -> DataFrame:
-    """Local days that ended before the retention and whose copy is verified."""
+    """Local days that ended before the retention and whose copy is verified.
+
+    ``verified``: day, n_source, verified. A day whose facts are no longer as many as its
+    verification saw (late ones came in) has to be verified again first.
+    """
     limit = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")
     days = (fact.where(F.col("ts") < limit)
             .groupBy(local_date("ts", zone).alias("day"))
             .agg(F.count(F.lit(1)).alias("n_rows"))
             .where(local_midnight(F.date_add("day", 1), zone) <= limit))
-    return days.join(verified.where("verified").select("day"), "day", "left_semi")
+    seen = verified.where("verified").select("day", F.col("n_source").alias("n_rows"))
+    return days.join(seen, ["day", "n_rows"], "left_semi")

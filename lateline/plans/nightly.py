@@ -56,5 +56,5 @@ def nightly(spark: SparkSession, fact: DataFrame, runs: DataFrame, dims: dict[st
         raise RuntimeError(f"the copy of {day} differs: nothing may be purged")
     checked.write.mode("append").parquet(paths.verified)
 
-    verified = spark.read.parquet(paths.verified).select("day", "verified").distinct()
+    verified = spark.read.parquet(paths.verified).select("day", "n_source", "verified").distinct()
     return purgeable_days(fact, verified, now, hours)

@@ -15,7 +15,7 @@ from lateline.schema import (
 )
 from lateline.session import materialize
 from lateline.sources.packages import FOLDER_LAYOUT, read_package_table
-from lateline.sources.sinks import export_lookup_snapshot
+from lateline.sources.sinks import drop_partitions, export_lookup_snapshot
 from lateline.sources.tables import read_or_empty
 
 DIMENSIONS = {"dim_line": (DIM_LINE, "line_id"), "dim_stop": (DIM_STOP, "stop_id"),
@@ -76,20 +76,16 @@ def schedule_run(spark: SparkSession, root: str, packages: list[str], paths: War
     table = f"{paths.tables}/schedule_lookup"
     stored = read_or_empty(spark, table, SCHEDULE_LOOKUP)
     active = added.version_id if added else current_version(versions).first().version_id
-    kept = ops.prune_lookup(stored, active, fact)
-    stale = stored.select("version_id").distinct().join(
-        kept.select("version_id").distinct(), "version_id", "left_anti")
-    if stale.count():
-        # Rewritten only when a version goes; static overwrite drops its partition.
-        (materialize(kept, "kept").write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").partitionBy("version_id").parquet(table))
     if added:
         empty = spark.createDataFrame([], SCHEDULE_LOOKUP)
         (ops.append_lookup(empty, lookup, versions, registered)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("version_id").parquet(table))  # a repeated run replaces its version
-    if added:
         export_lookup_snapshot(lookup, active, today, paths.snapshots)
     registered.write.mode("overwrite").parquet(register)
+    # Last, when no reader is led to the old versions any more; kept partitions stay as they are.
+    kept = ops.prune_lookup(stored, active, fact).select("version_id").distinct()
+    stale = stored.select("version_id").distinct().join(kept, "version_id", "left_anti")
+    drop_partitions(spark, table, "version_id", [r.version_id for r in stale.collect()])
     return active
 

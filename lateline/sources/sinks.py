@@ -96,6 +96,14 @@ def export_lookup_snapshot(lookup: DataFrame, version_id: int, day: dt.date, pat
      .option("compression", "zstd").partitionBy("dt", "version_id").parquet(path))
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, values: list) -> None:
+    """Delete the stored table's partitions of these values; the others are not touched."""
+    context = spark.sparkContext
+    for value in values:
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def archive_snapshots(raw: DataFrame, path: str, zone: str = TIME_ZONE) -> None:
     """Append raw messages (kind, header_ts, payload) that the archive does not hold yet.
 
