@@ -73,12 +73,18 @@ def index_by_rarest(rules: DataFrame, url_tokens: DataFrame) -> DataFrame:
             .select("rule", "verdict", "named", "regex", F.col("rarest.token").alias("token")))
 
 
+def _table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """A table of literals, without Python data in the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return _table(spark, RULES, ("host", "path", "verdict"))
 
 
 def default_patterns(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATTERNS], "phrase string")
+    return _table(spark, [(p,) for p in PATTERNS], ("phrase",))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame | None = None,
