@@ -1,0 +1,69 @@
+"""Near copies of the corpus stage against brute-force Jaccard similarity."""
+
+import random
+import re
+
+import pytest
+
+import corpus_pipeline
+from lateline.llm import simhash
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[k:k + 5]) for k in range(max(1, len(words) - 4)) if words)
+
+
+def brute_labels(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    near = {i: [j for j, b in sets.items() if a == b or len(a & b) >= 0.8 * len(a | b) > 0]
+            for i, a in sets.items()}
+    label = {i: i for i in sets}
+    while True:
+        new = {i: min(label[j] for j in near[i]) for i in label}
+        if new == label:
+            return label
+        label = new
+
+
+def planted(rng):
+    """A chain of ever more edited copies, a cloud around one text, and odd texts."""
+    word = lambda: f"w{rng.randrange(5_000)}"
+    texts, now = [], [word() for _ in range(200)]
+    for _ in range(30):
+        texts.append(" ".join(now))
+        now = now[:]
+        for _ in range(rng.randrange(1, 8)):
+            now[rng.randrange(200)] = word()
+    base = [word() for _ in range(150)]
+    for _ in range(60):
+        now = base[:]
+        for _ in range(rng.randrange(0, 6)):
+            now[rng.randrange(150)] = word()
+        texts.append(" ".join(now))
+    return texts + [None, "", " \t", "One", "one", "a b c d e", "a b c d e f", "x y " * 2_000, "x y " * 2_001]
+
+
+@pytest.mark.parametrize("dense", [simhash.DENSE, 2])
+def test_near_copies_equal_brute_force(spark, dense):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    rows = [(r.doc_id, r.text) for r in docs]
+    rows += [(10_000 + k, t) for k, t in enumerate(planted(random.Random(5)))]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    got = simhash.near_copies(df, dense=dense).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.doc_id: r.component_id for r in got} == brute_labels(rows)
+    assert simhash.near_copies(df.limit(0)).count() == 0
+
+
+def test_the_stage_removes_copies_beyond_two_bits(spark):
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(5_000)}" for _ in range(300)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:100], "new", *base[101:250], "n", *base[251:]])),
+            (3, " ".join(base[150:] + [f"v{k}" for k in range(150)])), (None, "alone in the table")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.component_id for r in simhash.near_dedup(df).collect()}) == 4
+    kept = corpus_pipeline.drop_near_copies(spark, df, SF_DIR).collect()
+    assert {r.doc_id for r in kept} == {1, 3, None}
