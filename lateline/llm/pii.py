@@ -7,9 +7,15 @@ context score them; a threshold, set on documents left out of the fit, decides w
 
 Everything runs as Spark SQL expressions. Positions follow from the pieces between matches: the
 n-th match starts after the lengths of all pieces and matches before it. A candidate's features
-are bits of a small number, so the whole corpus enters the fit as counts per number (at most 2^12
-rows on the driver) and the trees' verdict per number goes back as a literal list. Weak labels are
-the base checks themselves, which are not among the features.
+are bits of a small number, so the whole corpus enters the fit as counts per number (at most 2^14
+rows on the driver) and the trees' verdict per number goes back as a literal list. Each kind has
+trees of its own.
+
+Weak labels do not follow the generator. A match of a base pattern is right if it passes its check.
+A high-recall candidate is not wrong for being no base match: label words, length, digits and
+separators say right, wrong or nothing (then it stays out of the fit). One that overlaps a base span
+stays out too, except a phone number inside a valid one that ends with it: that is the same number
+without its prefix, and right.
 
 Regular expressions use possessive quantifiers and look-behinds, so that long runs of one
 character class cost linear time and no stack.
@@ -55,7 +61,7 @@ LABEL = {
     "secret": r"(?i)(?:export|set|env|config)[^A-Za-z0-9]*$",
 }
 FEATURES = ("label", "assigned", "edge_before", "edge_after", "has_space", "has_dash", "has_dot",
-            "long", "grouped")
+            "long", "grouped", "bracket", "digit")
 BITS = 1 << len(FEATURES)
 
 
@@ -83,6 +89,19 @@ def _passes(kind: str, match: Column) -> Column:
     }[kind]
 
 
+def _weak(kind: str, match: Column, before: Column) -> Column:
+    """Whether a high-recall candidate looks right; null if nothing tells."""
+    has = lambda regex: F.rlike(match, F.lit(regex))
+    label, value = F.rlike(before, F.lit(LABEL[kind])), F.regexp_replace(match, r"^[^=:]*[=:]\x20*[\"']?", "")
+    right, wrong = {
+        "email": (label | has(r"(?i)[\[(]\x20?dot"), has(r"[^A-Za-z0-9-][0-9-]+$")),
+        "phone": (label | has(r"^\("), ~label & has(r"^[0-9]+(?:\.[0-9]+)+$")),
+        "secret": ((F.length(value) >= 12) & F.rlike(value, F.lit("[0-9]"))
+                   & F.rlike(value, F.lit("[A-Za-z]")), ~F.rlike(value, F.lit("[0-9]"))),
+    }[kind]
+    return F.when(wrong, 0).when(right, 1)
+
+
 def _code(kind: str, match: Column, before: Column, after: Column) -> Column:
     """The candidate's kind and features as one number."""
     features = {
@@ -95,6 +114,8 @@ def _code(kind: str, match: Column, before: Column, after: Column) -> Column:
         "has_dot": F.contains(match, F.lit(".")),
         "long": F.length(match) > 15,
         "grouped": F.rlike(match, F.lit(r"^[^0-9]*[0-9]{2,4}(?:[\x20.-][0-9]{2,4})+$")),
+        "bracket": F.rlike(match, F.lit(r"[\[(]")),
+        "digit": F.rlike(match, F.lit("[0-9]")),
     }
     code = F.lit(KINDS.index(kind) * BITS)
     for k, name in enumerate(FEATURES):
@@ -103,22 +124,23 @@ def _code(kind: str, match: Column, before: Column, after: Column) -> Column:
 
 
 def _spans(kind: str, gaps: Column, found: Column, base: bool) -> Column:
-    """Array of (kind, start, end, base, code), from the pieces between matches.
+    """Array of (kind, start, end, base, code, weak label), from the pieces between matches.
 
     Lengths are added up in steps of STEP matches and then over the steps, so that a text with
     very many matches does not copy ever longer arrays.
     """
-    empty = F.array().cast("array<struct<k:int,start:int,end:int,base:boolean,code:int>>")
+    empty = F.array().cast("array<struct<k:int,start:int,end:int,base:boolean,code:int,weak:int>>")
 
     def one(at: Column, k: Column) -> Column:
         match = F.get(found, k)
         start = at + F.length(F.get(gaps, k))
-        kept = _passes(kind, match) if base else F.lit(False)
+        kept = F.coalesce(_passes(kind, match), F.lit(False)) if base else F.lit(False)
+        before = F.right(F.get(gaps, k), F.lit(24))
         return F.struct(
             F.lit(KINDS.index(kind)).alias("k"), start.alias("start"),
-            (start + F.length(match)).alias("end"), F.coalesce(kept, F.lit(False)).alias("base"),
-            _code(kind, match, F.right(F.get(gaps, k), F.lit(24)),
-                  F.left(F.get(gaps, k + 1), F.lit(4))).alias("code"))
+            (start + F.length(match)).alias("end"), kept.alias("base"),
+            _code(kind, match, before, F.left(F.get(gaps, k + 1), F.lit(4))).alias("code"),
+            (kept.cast("int") if base else _weak(kind, match, before)).alias("weak"))
 
     def step(first: Column) -> Column:
         last = F.least(first + STEP, F.size(found)) - 1
@@ -132,13 +154,13 @@ def _spans(kind: str, gaps: Column, found: Column, base: bool) -> Column:
     joined = F.aggregate(
         steps, F.struct(F.lit(0).alias("at"),
                         F.array().cast("array<array<struct<k:int,start:int,end:int,base:boolean,"
-                                       "code:int>>>").alias("out")),
+                                       "code:int,weak:int>>>").alias("out")),
         lambda acc, s: F.struct(
             (acc["at"] + s["at"]).alias("at"),
             F.concat(acc["out"], F.array(F.transform(s["out"], lambda x: F.struct(
                 x["k"].alias("k"), (x["start"] + acc["at"]).alias("start"),
                 (x["end"] + acc["at"]).alias("end"), x["base"].alias("base"),
-                x["code"].alias("code"))))).alias("out")),
+                x["code"].alias("code"), x["weak"].alias("weak"))))).alias("out")),
         lambda acc: F.flatten(acc["out"]))
     return F.when(F.size(found) > 0, joined).otherwise(empty)
 
@@ -216,30 +238,34 @@ def score_of(trees: list, code: int) -> float:
     return 1 / (1 + math.exp(-RATE * sum(_value(t, code) for t in trees)))
 
 
-def accepted_codes(trees: list, held_out: dict[int, tuple[int, int]],
-                   precision: float = PRECISION) -> list[int]:
-    """Codes that score at or above their kind's threshold.
+def accepted_codes(fit: dict[int, tuple[int, int]], held_out: dict[int, tuple[int, int]],
+                   codes: list[int], precision: float = PRECISION) -> list[int]:
+    """Those of ``codes`` that score at or above their kind's threshold.
 
-    The threshold of a kind is the lowest score above which the held-out candidates of the base
-    patterns are right in ``precision`` of all cases. A kind without base pattern takes the
-    threshold of all kinds together, and 0.5 at least.
+    The threshold of a kind is the lowest score above which its held-out candidates are right in
+    ``precision`` of all cases; 0.5 if that holds for all of them. A kind without labels in the fit
+    is scored by trees of all kinds, one without held-out labels takes the threshold of all kinds.
     """
+    of_kind = lambda counts, k: {c: v for c, v in counts.items() if c // BITS == k}
+    pooled = fit_trees(fit)
+    trees = [fit_trees(own) if (own := of_kind(fit, k)) else pooled for k in range(len(KINDS))]
+
     def lowest(counts: dict[int, tuple[int, int]]) -> float:
+        by_score: dict[float, tuple[int, int]] = {}
+        for c, (a, b) in counts.items():
+            score = score_of(trees[c // BITS], c)
+            n, y = by_score.get(score, (0, 0))
+            by_score[score] = n + a, y + b
         cut, n, y = 2.0, 0, 0
-        for score, a, b in sorted(((score_of(trees, c), *v) for c, v in counts.items()),
-                                  reverse=True):
-            n, y = n + a, y + b
-            if n and y / n >= precision:
+        for score in sorted(by_score, reverse=True):
+            n, y = n + by_score[score][0], y + by_score[score][1]
+            if y >= precision * n:
                 cut = score
-        return cut
+        return min(cut, 0.5) if n and y >= precision * n else cut
 
     general = max(0.5, lowest(held_out))
-    out = []
-    for k, kind in enumerate(KINDS):
-        own = {c: v for c, v in held_out.items() if c // BITS == k}
-        cut = lowest(own) if kind in BASE_KINDS else general
-        out += [c for c in range(k * BITS, (k + 1) * BITS) if score_of(trees, c) >= cut]
-    return out
+    cuts = [lowest(own) if (own := of_kind(held_out, k)) else general for k in range(len(KINDS))]
+    return [c for c in codes if score_of(trees[c // BITS], c) >= cuts[c // BITS]]
 
 
 def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
@@ -251,20 +277,30 @@ def find_pii(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     ignored.
     """
     table = materialize(candidates(docs), "pii-candidates")
-    seen = table.select(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))),
-                               F.lit(5)).alias("fold"), F.explode("cands").alias("c"))
-    checked = seen.filter(F.col("c.k") < len(BASE_KINDS)).filter(
-        F.col("c.base") | (F.col("c.k") != KINDS.index("email")))
-    rows = (checked.groupBy((F.col("fold") == 0).alias("held"), F.col("c.code").alias("code"))
-            .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.base").cast("long")).alias("y")))
-    fit, held = {}, {}
+    base_c = F.filter("cands", lambda c: c["base"])
+
+    def label(c: Column) -> Column:
+        over = lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])
+        rest = F.exists("base_c", lambda b: over(b) & (b["k"] == c["k"]) & (b["end"] == c["end"]))
+        return (F.when(c["base"], 1)
+                .when((c["k"] == KINDS.index("phone")) & rest, 1)
+                .when(~F.exists("base_c", over), c["weak"]))
+
+    seen = table.withColumn("base_c", base_c).select(
+        F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5)).alias("fold"),
+        F.explode(F.transform("cands", lambda c: F.struct(
+            c["code"].alias("code"), label(c).alias("y")))).alias("c"))
+    rows = (seen.groupBy((F.col("fold") == 0).alias("held"), F.col("c.code").alias("code"))
+            .agg(F.count("c.y").alias("n"), F.sum("c.y").alias("y")))
+    fit, held, codes = {}, {}, set()
     for r in rows.collect():  # at most 2 * len(KINDS) * BITS rows
-        (held if r["held"] else fit)[r["code"]] = (r["n"], r["y"])
-    trees = fit_trees(fit)
-    good = F.array(*[F.lit(c) for c in accepted_codes(trees, held, precision)]).cast("array<int>")
+        codes.add(r["code"])
+        if r["n"]:
+            (held if r["held"] else fit)[r["code"]] = (r["n"], r["y"])
+    good = F.array(*[F.lit(c) for c in accepted_codes(fit, held, sorted(codes), precision)]).cast("array<int>")
     flat = lambda xs: F.array_sort(F.array_distinct(F.transform(
         xs, lambda c: F.struct(c["k"].alias("k"), c["start"].alias("start"), c["end"].alias("end")))))
-    base = table.withColumn("base_c", F.filter("cands", lambda c: c["base"]))
+    base = table.withColumn("base_c", base_c)
     added = base.withColumn("more_c", F.filter("cands", lambda c: (
         ~c["base"] & F.array_contains(good, c["code"])
         & ~F.exists("base_c", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))))
