@@ -10,6 +10,11 @@ A candidate is then checked on its words: the longest common subsequence with th
 the item's answer (its last sentence), so that paraphrases that keep the answer count at a lower
 share.
 
+An item copied into very many documents must not make its own words cheap: where a document repeats
+``RUN`` words of an item in a row, those words are left out of the frequencies. The same runs are a
+second way into the check besides the cosine, so a passage with a run of an item is always judged,
+however frequent its words are. Items shorter than a run are found by cosine alone.
+
 Nothing is sampled: the frequencies cover all documents, and the search all passages of all
 documents against all items, in blocks of about ``ITEMS`` items, each with a basis of its own.
 """
@@ -37,6 +42,8 @@ SAME, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 ITEMS = 1024
 BLOCK_WORDS = 100_000
 KEPT_WORDS = 300_000
+#: Words of a run, and the bits of the table of all items' runs.
+RUN, RUN_BITS = 8, 26
 SEED = 5
 
 WORD = re.compile(r"\w+")
@@ -48,20 +55,47 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Features:
-    """Feature numbers of words; a bounded table keeps those of words already seen."""
+    """Numbers of words (32 bits, the low ones are the feature); a bounded table keeps those seen."""
 
     def __init__(self):
         self.seen: dict[str, int] = {}
 
     def of(self, words: list[str]) -> np.ndarray:
+        return self.numbers(words) % FEATURES
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         seen = self.seen
         if len(seen) > KEPT_WORDS:
             seen.clear()
         for w in set(words).difference(seen):
-            seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % FEATURES
+            seen[w] = zlib.crc32(w.encode("utf-8", "surrogatepass"))
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
 
+def run_hashes(numbers: np.ndarray) -> np.ndarray:
+    """A hash of every run of RUN words."""
+    n, numbers = max(0, len(numbers) - RUN + 1), numbers.astype(np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + numbers[k:k + n]
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _run_bit(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each hash in the run table."""
+    at = (hashes >> np.uint64(64 - RUN_BITS)).astype(np.int64)
+    return at >> 3, (1 << (at & 7)).astype(np.uint8)
+
+
+def run_table(items: DataFrame) -> np.ndarray:
+    """The runs of all items as bits of a table of fixed size."""
+    table, features = np.zeros(1 << RUN_BITS - 3, np.uint8), Features()
+    for row in items.select("text").toLocalIterator():
+        at, bit = _run_bit(run_hashes(features.numbers(words_of(row[0]))))
+        np.bitwise_or.at(table, at, bit)
+    return table
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
@@ -69,12 +103,25 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[str | None]:
             yield value.as_py()
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per feature and the number of documents; at most FEATURES + 1 rows come back."""
+def document_frequencies(docs: DataFrame, runs: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents per feature, without runs of ``runs``, and the number of documents.
+
+    At most FEATURES + 1 rows come back.
+    """
+    held_runs = docs.sparkSession.sparkContext.broadcast(runs)  # fixed size
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, total = Features(), np.zeros(FEATURES + 1, np.int64)
         for text in _texts(batches):
-            total[np.unique(features.of(list(set(words_of(text)))))] += 1
+            numbers = features.numbers(words_of(text))
+            at, bit = _run_bit(run_hashes(numbers))
+            copied = np.flatnonzero(held_runs.value[at] & bit)
+            if len(copied):
+                edge = np.zeros(len(numbers) + 1, np.int64)
+                edge[copied] += 1
+                edge[copied + RUN] -= 1
+                numbers = numbers[np.cumsum(edge)[:-1] == 0]
+            total[np.unique(numbers % FEATURES)] += 1
             total[FEATURES] += 1
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["f", "n"])
@@ -82,6 +129,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     out = np.zeros(FEATURES + 1, np.int64)
     rows = (docs.select("text").mapInArrow(count, "f long, n long")
             .groupBy("f").agg(F.sum("n").alias("n")).collect())
+    held_runs.destroy()  # its copies on disk
     for r in rows:
         out[r["f"]] = r["n"]
     return out[:FEATURES], int(out[FEATURES])
@@ -115,6 +163,7 @@ def _project(passages: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.n
     for r in (passages.mapInArrow(part, "f long, v array<double>")
               .groupBy("f").agg(*sums).collect()):  # at most FEATURES rows
         out[r[0]] = r[1:]
+    held.destroy()  # its copies on disk
     return out
 
 
@@ -138,10 +187,15 @@ class Item:
 
 @dataclass
 class Index:
-    """Weighted basis, and per passage length (in steps) the items and their unit vectors."""
+    """Weighted basis, and per passage length (in steps) the items and their unit vectors.
+
+    ``runs`` are the items' run hashes, sorted; ``owners`` name steps, item and word of each.
+    """
 
     weighted: np.ndarray
     classes: dict[int, tuple[list[Item], np.ndarray]]
+    runs: np.ndarray
+    owners: np.ndarray
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -157,9 +211,17 @@ def build_index(rows: list, weight: np.ndarray, basis: np.ndarray) -> Index:
         if words:
             answer = words_of(SENTENCE_END.split(text.strip())[-1])
             grouped.setdefault(-(-len(words) // STEP), []).append(Item(item_id, words, answer, Counter(words)))
+    hashes, owners = [np.zeros(0, np.uint64)], [np.zeros((0, 3), np.int64)]
+    for steps, items in grouped.items():
+        for i, item in enumerate(items):
+            hashes.append(run_hashes(features.numbers(item.words)))
+            n = len(hashes[-1])
+            owners.append(np.column_stack([np.full(n, steps), np.full(n, i), np.arange(n)]))
+    runs = np.concatenate(hashes)
+    order = np.argsort(runs, kind="stable")
     return Index(weighted, {
         steps: (items, _unit(np.stack([weighted[features.of(i.words)].sum(0) for i in items])))
-        for steps, items in grouped.items()})
+        for steps, items in grouped.items()}, runs[order], np.concatenate(owners)[order])
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -196,6 +258,19 @@ def _step_sums(weighted: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _run_passages(index: Index, numbers: np.ndarray) -> set[tuple[int, int, int]]:
+    """Steps, item and first word of the passages around all runs of an item, to whole steps."""
+    if len(numbers) < RUN or not len(index.runs):
+        return set()
+    hashes = run_hashes(numbers)
+    first, last = (np.searchsorted(index.runs, hashes, side) for side in ("left", "right"))
+    out = set()
+    for at in np.flatnonzero(last > first).tolist():
+        for steps, i, word in index.owners[first[at]:last[at]].tolist():
+            out.add((steps, i, max(0, (at - word) // STEP * STEP - steps * STEP // 2)))
+    return out
+
+
 def search(index: Index, texts: Iterator[str | None]) -> Iterator[list[dict]]:
     """For each text {item number: (item_id, share, cosine)} of the items that it leaks."""
     features, held, n = Features(), [], 0
@@ -205,9 +280,18 @@ def search(index: Index, texts: Iterator[str | None]) -> Iterator[list[dict]]:
         counts = np.array([-(-len(w) // STEP) for w in held])
         first = np.cumsum(counts) - counts
         ids = np.full(int(counts.sum()) * STEP, FEATURES, np.int64)
-        for words, at in zip(held, first):
-            ids[at * STEP:at * STEP + len(words)] = features.of(words)
         found: list[dict] = [{} for _ in held]
+        for d, (words, at) in enumerate(zip(held, first)):
+            numbers = features.numbers(words)
+            own = ids[at * STEP:at * STEP + len(words)]
+            own[:] = numbers % FEATURES
+            for steps, i, start in _run_passages(index, numbers):
+                items, vectors = index.classes[steps]
+                end = start + 2 * steps * STEP
+                share = judge(items[i], words[start:end])
+                if share is not None and share > found[d].get((steps, i), (None, -1.0))[1]:
+                    vector = _unit(padded[own[start:end]].sum(0, np.float64))
+                    found[d][steps, i] = (items[i].item_id, share, float(vector @ vectors[i]))
         if len(ids):
             sums = _step_sums(padded, ids)
             total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, 0, np.float64)])
@@ -246,10 +330,10 @@ def search(index: Index, texts: Iterator[str | None]) -> Iterator[list[dict]]:
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     """One index per block of items; each has about ITEMS items, whatever the benchmark's size."""
-    df, n = document_frequencies(docs)
-    weight = (np.log((n + 1) / (df + 1)) + 0.1) ** 2
     items = materialize(benchmark.filter(F.col("text").isNotNull())
                         .select("item_id", "text").distinct(), "items")
+    df, n = document_frequencies(docs, run_table(items))
+    weight = (np.log((n + 1) / (df + 1)) + 0.1) ** 2
     blocks = max(1, math.ceil(items.count() / ITEMS))
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
