@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lateline.llm import (
-    decontamination, exact_dedup, html_text, mixing, pii, simhash, substring_dedup, token_counts, toxicity,
-    url_filter,
+    decontamination, exact_dedup, filter_audit, html_text, mixing, pii, simhash, substring_dedup,
+    token_counts, toxicity, url_filter,
 )
 
 QUERIES: dict = {}
@@ -133,3 +133,38 @@ def op9(documents: DataFrame) -> DataFrame:
 @query("op10_simhash", "documents")
 def op10(documents: DataFrame) -> DataFrame:
     return simhash.near_dedup(documents)
+
+
+@query("op13_filter_audit", "documents labels", r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+  max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+rows AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+  + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+  + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS fails FROM d),
+p AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS n_good,
+  sum(coalesce(toxic, 0)) AS n_toxic
+  FROM rows LEFT JOIN marks ON rows.doc_id = marks.doc_id GROUP BY part, fails),
+f(x, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.b | b.b | c.b | d.b | e.b = 31),
+s AS (SELECT filter_order, k AS step, substr(filter_order, k, 1) AS filter, bits[k] AS own,
+  coalesce(list_sum(bits[1:k - 1]), 0)::INTEGER AS before FROM o, range(1, 6) AS r(k)),
+c AS (SELECT part, filter_order, step, filter,
+  sum(CASE WHEN fails & (own | before) = 0 THEN n ELSE 0 END) AS kept,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & own <> 0 AND fails & before <> 0 THEN n ELSE 0 END) AS redundant,
+  sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN n_good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & own <> 0 AND fails & before = 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+  FROM p, s GROUP BY part, filter_order, step, filter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM c""")
+def op13(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return filter_audit.audit(documents, labels)
