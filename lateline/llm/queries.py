@@ -7,8 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lateline.llm import (
-    decontamination, exact_dedup, filter_audit, html_text, mixing, pii, simhash, substring_dedup,
-    token_counts, toxicity, url_filter,
+    centroids, decontamination, exact_dedup, filter_audit, html_text, mixing, pii, simhash,
+    substring_dedup, token_counts, token_files, toxicity, url_filter,
 )
 
 QUERIES: dict = {}
@@ -135,6 +135,39 @@ def op10(documents: DataFrame) -> DataFrame:
     return simhash.near_dedup(documents)
 
 
+def _cluster_sql(rounds: int) -> str:
+    nearest = """(SELECT rid, vec_id, p, min(CAST(list_inner_product(p, p)
+  - 2 * list_inner_product(p, q) + list_inner_product(q, q) AS BIGINT) * 16 + c) AS m
+  FROM v, c{k} GROUP BY rid, vec_id, p)"""
+    ctes = ["""v AS (SELECT row_number() OVER () AS rid, vec_id,
+  [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS p FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64)""",
+            """c0 AS (SELECT row_number() OVER (ORDER BY h, p) - 1 AS c, p AS q FROM
+  (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, p FROM v ORDER BY h, p LIMIT 16))"""]
+    for k in range(rounds):
+        ctes += [f"a{k} AS {nearest.format(k=k)}",
+                 f"""c{k + 1} AS (SELECT c{k}.c, coalesce(n.q, c{k}.q) AS q FROM c{k} LEFT JOIN
+  (SELECT c, list(x ORDER BY i) AS q FROM (SELECT m % 16 AS c, i, floor(sum(p[i]) / count(*)) AS x
+    FROM a{k}, range(1, 65) AS r(i) GROUP BY m % 16, i) GROUP BY c) n ON n.c = c{k}.c)"""]
+    return f"""WITH {", ".join(ctes)}, f AS {nearest.format(k=rounds)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, m // 16 AS distance,
+  CAST(sum(m // 16) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m // 16) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(x AS BIGINT) FOR x IN q], ',')) AS centroid_sha256
+FROM f JOIN c{rounds} ON c = m % 16"""
+
+
+@query("op11_centroids", "embeddings", _cluster_sql(3))
+def op11(embeddings: DataFrame) -> DataFrame:
+    return centroids.cluster(embeddings, k=16, rounds=3).drop("centroid")
+
+
+@query("op12_token_files", "documents")
+def op12(documents: DataFrame) -> DataFrame:
+    definition = token_files.load_tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_files.round_trip(documents, definition, end_id=2)
+
+
 @query("op13_filter_audit", "documents labels", r"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
