@@ -14,6 +14,7 @@ from lateline.constants import (
 )
 from lateline.functions.clock import local_date
 from lateline.functions.ordered import overlapping_slices, preceding
+from lateline.functions.selection import quantiles
 from lateline.operators.features import daily_profile
 
 
@@ -109,13 +110,12 @@ def direction_values(fact: DataFrame) -> DataFrame:
 
 
 def delay_percentiles(fact: DataFrame) -> DataFrame:
-    """Discrete percentiles; the buffer counts distinct delays and combines map-side."""
-    ranks = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99}
-    discrete = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY delay_s)")
-                .cast("int").alias(n)
-                for n, q in ranks.items()]
-    return (fact.where(F.col("status") == OBSERVED)
-            .agg(F.min("delay_s").alias("min"), *discrete, F.max("delay_s").alias("max")))
+    """Discrete percentiles; equal delays are counted first, map-side combined."""
+    ranks = {"min": 0.0, "p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p99": 0.99, "max": 1.0}
+    counted = (fact.where(F.col("status") == OBSERVED)
+               .groupBy("delay_s").agg(F.count(F.lit(1)).alias("n")))
+    found = quantiles(counted, [], "delay_s", ranks, weight="n", how="disc")
+    return found.select(*[F.col(n).cast("int").alias(n) for n in ranks])
 
 
 def absurd_values(fact: DataFrame) -> DataFrame:

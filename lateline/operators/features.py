@@ -16,6 +16,7 @@ from lateline.functions.clock import (
     add_seconds, bucket, hms_to_seconds, local_date, local_midnight, local_time,
 )
 from lateline.functions.ordered import DAY, overlapping_slices, preceding
+from lateline.functions.selection import quantiles
 from lateline.session import materialize
 
 LINE_KEYS = ["client", "line_id", "direction"]
@@ -186,11 +187,11 @@ def build_features(fact: DataFrame, lookup: DataFrame, dim_date: DataFrame, mapp
 def split_boundary(features: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
     """One row ``boundary_us``: the linear quantile of the window times.
 
-    Windows are counted first; the percentile then works on distinct windows.
+    Windows are counted first; the selection then works on distinct windows.
     """
-    counted = features.groupBy("window").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.agg(F.percentile(F.unix_micros("window"), share, F.col("_n"))
-                       .alias("boundary_us"))
+    counted = (features.where(F.col("window").isNotNull())
+               .groupBy(F.unix_micros("window").alias("us")).agg(F.count(F.lit(1)).alias("n")))
+    return quantiles(counted, [], "us", {"boundary_us": share}, weight="n")
 
 
 def time_split(features: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
@@ -202,8 +203,7 @@ def time_split(features: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
 
 def daily_profile(train: DataFrame) -> DataFrame:
     """Median d by client, hour and workday. Pass the training part only."""
-    return (train.where(F.col("d").isNotNull())
-            .groupBy("client", "hour", "workday").agg(F.median("d").alias("m")))
+    return quantiles(train, ["client", "hour", "workday"], "d", {"m": 0.5})
 
 
 def profile_deviation(features: DataFrame, profile: DataFrame) -> DataFrame:

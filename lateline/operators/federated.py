@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from lateline.constants import ALARM_PERCENTILE, MIN_SEQUENCES, VALIDATION_SHARE
 from lateline.functions.ordered import preceding
+from lateline.functions.selection import quantiles
 from lateline.session import materialize
 
 HIDDEN = 8
@@ -249,8 +250,7 @@ def alarm_threshold(errors: DataFrame, clients: DataFrame | None = None,
 
     Clients of ``clients`` without errors get infinity.
     """
-    found = errors.groupBy("client").agg(
-        F.percentile("error", percentile / 100).alias("threshold"))
+    found = quantiles(errors, ["client"], "error", {"threshold": percentile / 100})
     if clients is None:
         return found
     return (clients.select("client").distinct().join(found, "client", "left")
