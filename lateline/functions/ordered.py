@@ -73,6 +73,26 @@ def preceding(df: DataFrame, keys: list[str], order: list[str], value: str, how:
     return _preceding(df, list(keys), list(order), seconds, value, how, name, tuple(widths))
 
 
+def as_of(df: DataFrame, at: str, changes: DataFrame, since: str, value: str, name: str,
+          widths=SLICES) -> DataFrame:
+    """Add ``name``: the ``value`` in force at the row's time ``at``.
+
+    A change holds from its time ``since`` on until the next one (of changes at one time the
+    largest value); rows before the first change get the first change's value, and without changes
+    all get null. The changes travel with the rows through the same time slices, so neither side
+    is collected and no window spans all rows; ``df`` should hold no more than keys.
+    """
+    mark = F.struct(F.col(since).alias("since"), F.col(value).alias("value"))
+    first = changes.agg(F.min(mark).alias("m")).first().m
+    marks = changes.select(F.col(since).alias("_at"), F.lit(0).alias("_side"), mark.alias("_change"))
+    rows = df.withColumns({"_at": F.col(at), "_side": F.lit(1)})
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    held = preceding(both, [], ["_at", "_side"], "_change", "max", "_held", widths)
+    kind = changes.schema[value].dataType
+    return held.where("_side = 1").select(*df.columns, F.coalesce(
+        F.col("_held.value"), F.lit(first and first["value"]).cast(kind)).alias(name))
+
+
 def overlapping_slices(df: DataFrame, time: str, back_seconds: int,
                        width: int = 7 * DAY) -> DataFrame:
     """Copy the last ``back_seconds`` of every slice into the next one.

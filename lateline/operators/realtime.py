@@ -9,8 +9,9 @@ from lateline.constants import (
     CANCELED, ERROR_TEXT_LENGTH, OBSERVED, SKIPPED, STOP_SKIPPED, TRIP_CANCELED,
 )
 from lateline.functions.clock import service_date
-from lateline.functions.ordered import preceding
+from lateline.functions.ordered import as_of, preceding
 from lateline.schema import DELAY_FACT, FACT_KEY, RUN_LOG
+from lateline.session import materialize
 
 FACT_COLUMNS = DELAY_FACT.fieldNames()
 _SCHEDULE_COLUMNS = ["trip_id", "stop_sequence", "stop_id", "line_id", "operator_id",
@@ -23,12 +24,26 @@ _JOIN = "merge"
 def new_snapshots(polls: DataFrame, order: list[str], processed: int | None = None) -> DataFrame:
     """Polls whose ``header_ts`` is above every earlier poll's (and above ``processed``).
 
-    ``order`` starts with the arrival time and is a total order of the polls.
+    ``order`` starts with the arrival time and is a total order of the polls. Only these columns and
+    ``header_ts`` are ordered; what else a poll carries is joined to the polls that are left.
     """
     if processed is not None:
         polls = polls.where(F.col("header_ts") > F.lit(processed))
-    seen = preceding(polls, [], order, "header_ts", "max", "_seen")
-    return seen.where(F.col("_seen").isNull() | (F.col("header_ts") > F.col("_seen"))).drop("_seen")
+    key = list(dict.fromkeys([*order, "header_ts"]))
+    seen = preceding(polls.select(*key), [], order, "header_ts", "max", "_seen")
+    new = seen.where(F.col("_seen").isNull() | (F.col("header_ts") > F.col("_seen"))).drop("_seen")
+    if set(polls.columns) == set(key):
+        return new.select(*polls.columns)
+    return polls.join(new, key, "left_semi")
+
+
+def version_in_force(polls: DataFrame, versions: DataFrame, at: str = "arrived_at") -> DataFrame:
+    """Add ``version_id``: the schedule version that was loaded last when the poll arrived.
+
+    Polls older than the first version get the first one. A backlog that spans a version change is
+    thus matched to the schedule of each snapshot's own time.
+    """
+    return as_of(polls, at, versions, "loaded_at", "version_id", "version_id")
 
 
 def current_version(versions: DataFrame) -> DataFrame:
@@ -39,13 +54,17 @@ def current_version(versions: DataFrame) -> DataFrame:
 
 
 def trip_updates(snapshots: DataFrame) -> DataFrame:
-    """One row per entity with a trip update and a trip id; ``entity_no`` is its place."""
+    """One row per entity with a trip update and a trip id; ``entity_no`` is its place.
+
+    A ``version_id`` of the snapshots is kept.
+    """
+    version = ["version_id"] if "version_id" in snapshots.columns else []
     return (snapshots
-            .select(F.timestamp_seconds("header.timestamp").alias("ts"),
+            .select(*version, F.timestamp_seconds("header.timestamp").alias("ts"),
                     F.posexplode("entity").alias("entity_no", "e"))
             .where(F.col("e.trip_update").isNotNull()
                    & (F.coalesce("e.trip_update.trip.trip_id", F.lit("")) != ""))
-            .select("ts", "entity_no",
+            .select(*version, "ts", "entity_no",
                     F.col("e.trip_update.trip.trip_id").alias("trip_id"),
                     F.coalesce(F.col("e.trip_update.trip.schedule_relationship")
                                == TRIP_CANCELED, F.lit(False)).alias("canceled"),
@@ -54,11 +73,17 @@ def trip_updates(snapshots: DataFrame) -> DataFrame:
 
 def flatten_stops(snapshots: DataFrame) -> DataFrame:
     """One row per stop update that has a sequence, of trips that are not canceled."""
-    return (trip_updates(snapshots).where("NOT canceled")
-            .select("ts", "entity_no", "trip_id",
+    return stop_updates(trip_updates(snapshots))
+
+
+def stop_updates(entities: DataFrame) -> DataFrame:
+    """The same from the rows of ``trip_updates``."""
+    version = ["version_id"] if "version_id" in entities.columns else []
+    return (entities.where("NOT canceled")
+            .select(*version, "ts", "entity_no", "trip_id",
                     F.posexplode("stops").alias("stop_no", "s"))
             .where(F.col("s.stop_sequence").isNotNull())
-            .select("ts", "entity_no", "stop_no", "trip_id",
+            .select(*version, "ts", "entity_no", "stop_no", "trip_id",
                     F.col("s.stop_sequence").alias("stop_sequence"),
                     F.coalesce(F.col("s.schedule_relationship") == STOP_SKIPPED,
                                F.lit(False)).alias("skipped"),
@@ -68,10 +93,13 @@ def flatten_stops(snapshots: DataFrame) -> DataFrame:
 
 def unique_stops(lookup: DataFrame, version: int) -> DataFrame:
     """One lookup row per (trip, sequence) of a version: the one with the lowest stop id."""
+    return _lowest_stops(lookup.where(F.col("version_id") == version))
+
+
+def _lowest_stops(stops: DataFrame) -> DataFrame:
     rest = [c for c in _SCHEDULE_COLUMNS if c not in ("trip_id", "stop_sequence", "version_id")]
     # Grouping by the version too leaves the join its own exchange, which AQE can split.
-    return (lookup.where(F.col("version_id") == version)
-            .groupBy("version_id", "trip_id", "stop_sequence")
+    return (stops.groupBy("version_id", "trip_id", "stop_sequence")
             .agg(F.min(F.struct(*rest)).alias("r"))
             .select("version_id", "trip_id", "stop_sequence", "r.*"))
 
@@ -88,9 +116,13 @@ def match_schedule(updates: DataFrame, lookup: DataFrame, version: int) -> DataF
 
 def expand_canceled(snapshots: DataFrame, lookup: DataFrame, version: int) -> DataFrame:
     """A CANCELED row for every scheduled stop of a canceled trip."""
-    trips = trip_updates(snapshots).where("canceled").select("ts", "entity_no", "trip_id")
-    stops = lookup.where(F.col("version_id") == version).select(*_SCHEDULE_COLUMNS).hint(_JOIN)
-    return (trips.join(stops, "trip_id")
+    stops = lookup.where(F.col("version_id") == version).select(*_SCHEDULE_COLUMNS)
+    return _canceled_stops(trip_updates(snapshots.drop("version_id")), stops, ["trip_id"])
+
+
+def _canceled_stops(entities: DataFrame, stops: DataFrame, on: list[str]) -> DataFrame:
+    trips = entities.where("canceled").select("ts", "entity_no", *on)
+    return (trips.join(stops.hint(_JOIN), on)
             .withColumn("service_date", service_date("ts", "day_offset"))
             .withColumn("delay_s", F.lit(None).cast("int"))
             .withColumn("status", F.lit(CANCELED))
@@ -112,18 +144,39 @@ def observed_delays(matched: DataFrame) -> DataFrame:
             .select(*FACT_COLUMNS, "entity_no", "stop_no"))
 
 
-def process_feed(snapshots: DataFrame, lookup: DataFrame, version: int) -> DataFrame:
+def stops_of_trips(lookup, entities: DataFrame) -> DataFrame:
+    """The scheduled stops of the trips that ``entities`` name: a semi-join of the lookup.
+
+    The trips come as distinct keys, combined map-side, so a trip that fills the feed is one key.
+    ``lookup`` is a table, or a ``StoredLookup`` whose buckets already lie by trip.
+    """
+    keys = entities.select("version_id", "trip_id").distinct()
+    if not isinstance(lookup, DataFrame):
+        return lookup.stops_of(keys).select(*_SCHEDULE_COLUMNS)
+    return lookup.select(*_SCHEDULE_COLUMNS).join(
+        keys.hint(_JOIN), ["version_id", "trip_id"], "left_semi")
+
+
+def process_feed(snapshots: DataFrame, lookup, version: int | None = None) -> DataFrame:
     """All fact rows of the snapshots, with their place in the feed.
 
-    Skipped and observed stops come from one join and one pass, not two.
+    ``version`` is that of all snapshots; without it they carry a ``version_id`` each. The feed is
+    taken apart once and the lookup is reduced to the trips in it once; both are written, and all
+    joins, orderings and sums after that see those rows only. ``lookup`` as in ``stops_of_trips``.
     """
-    matched = match_schedule(flatten_stops(snapshots), lookup, version)
+    if version is not None:
+        snapshots = snapshots.withColumn("version_id", F.lit(version).cast("int"))
+    entities = materialize(trip_updates(snapshots), "entities")
+    stops = materialize(stops_of_trips(lookup, entities), "stops")
+    matched = (stop_updates(entities)
+               .join(_lowest_stops(stops).hint(_JOIN), ["version_id", "trip_id", "stop_sequence"])
+               .withColumn("service_date", service_date("ts", "day_offset")))
     skipped = F.col("skipped")
     reported = (matched.where(skipped | F.col("delay_s").isNotNull())
                 .withColumn("delay_s", F.when(~skipped, F.col("delay_s")))
                 .withColumn("status", F.when(skipped, F.lit(SKIPPED)).otherwise(OBSERVED))
                 .select(*FACT_COLUMNS, "entity_no", "stop_no"))
-    return reported.unionByName(expand_canceled(snapshots, lookup, version))
+    return reported.unionByName(_canceled_stops(entities, stops, ["version_id", "trip_id"]))
 
 
 def first_per_key(rows: DataFrame) -> DataFrame:
