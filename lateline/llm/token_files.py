@@ -23,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lateline.session import materialize, new_path
 
 LENGTH, ROWS = 2048, 64
-#: Pieces of text kept with their ids per task, and the longest piece kept.
-KEPT_PIECES, KEPT_IDS, KEPT_LENGTH = 300_000, 4_000_000, 64
+#: Pieces of text and ids a worker remembers, and the longest piece it does.
+KEPT_PIECES, KEPT_IDS, KEPT_LENGTH = 600_000, 8_000_000, 64
 #: Documents are encoded in groups of about so many characters.
 GROUP = 1 << 20
 
@@ -48,12 +49,18 @@ def load_tokenizer(path: str) -> str:
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece of text encoded once.
 
-    A byte-level tokenizer that adds no blank always starts a new word at a single blank between two
-    other characters. Texts are cut there, and only pieces not yet known go through the library.
-    Of any other tokenizer whole texts go through it. Strings of special tokens are ordinary text.
+    A byte-level tokenizer that adds no blank always starts a new token at a single blank between two
+    characters that are not white space. Texts are cut there, and only pieces not seen before go
+    through the library, many in one call: laid end to end, each starts at the one token that begins
+    with its blank. Of any other tokenizer whole texts go through it. Strings of special tokens
+    are ordinary text.
     """
 
     CUT = re.compile(r"(?<=\S)(?= \S)")
+    #: White space other than blank and line break: a text with it is cut by rule, like one with a
+    #: blank beside white space; all others simply at their blanks.
+    RARE = "".join(filter(re.compile(r"[^\S \n]").match, map(chr, range(0x3001))))
+    TOGETHER = 2_000
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -66,35 +73,90 @@ class Encoder:
         words = rules.get("pre_tokenizer") or {}
         self.by_piece = (rules.get("normalizer") is None and words.get("type") == "ByteLevel"
                          and not words.get("add_prefix_space", True) and words.get("use_regex", True)
-                         and not any(t.get("lstrip") or t.get("rstrip") or " " in t["content"]
+                         and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"])
                                      for t in rules.get("added_tokens", [])))
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[n for token, n in vocabulary.items() if token.startswith("Ġ")]] = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        #: Numbers of texts as they are, and of texts after a blank; ids and uses by number.
+        self.plain: dict[str, int] = {}
+        self.after_blank: dict[str, int] = {}
         self.pool, self.used = np.empty(1 << 16, self.dtype), 0
-        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.starts, self.sizes, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.count = 0
+
+    def _trim(self) -> None:
+        """Keep what was used more than once; forget all if that is still much."""
+        kept = np.flatnonzero(self.uses[:self.count] > 1)
+        if len(kept) > KEPT_PIECES // 2:
+            self._forget()
+            return
+        number = np.full(self.count, -1, np.int64)
+        number[kept] = np.arange(len(kept))
+        numbers = number.tolist()
+        self.plain, self.after_blank = ({k: numbers[n] for k, n in known.items() if numbers[n] >= 0}
+                                        for known in (self.plain, self.after_blank))
+        self.pool = self._ids(kept)
+        self.used, self.count = len(self.pool), len(kept)
+        self.sizes = self.sizes[kept]
+        self.starts, self.uses = np.cumsum(self.sizes) - self.sizes, np.ones(len(kept), np.int64)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype) for e in found]
 
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, end to end."""
+        sizes = self.sizes[numbers]
+        shift = np.cumsum(sizes) - sizes
+        return self.pool[np.repeat(self.starts[numbers] - shift, sizes) + np.arange(int(sizes.sum()))]
+
     @staticmethod
     def _room(array: np.ndarray, size: int) -> np.ndarray:
         if size <= len(array):
             return array
-        return np.concatenate([array, np.empty(max(size, 2 * len(array)) - len(array), array.dtype)])
-
-    def _learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self._whole(pieces)):
-            k = len(self.known)
-            self.starts, self.sizes = self._room(self.starts, k + 1), self._room(self.sizes, k + 1)
-            self.pool = self._room(self.pool, self.used + len(ids))
-            self.pool[self.used:self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[piece] = k
+        return np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
+
+    def _store(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """Add pieces, given by their ids end to end; returns the number of the first."""
+        first, n = self.count, len(sizes)
+        self.starts, self.sizes, self.uses = (
+            self._room(x, first + n) for x in (self.starts, self.sizes, self.uses))
+        self.pool = self._room(self.pool, self.used + len(ids))
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.sizes[first:first + n] = sizes
+        self.starts[first:first + n] = self.used + np.cumsum(sizes) - sizes
+        self.uses[first:first + n] = 0
+        self.used, self.count = self.used + len(ids), first + n
+        return first
+
+    def _learn(self, pieces: list[str]) -> range:
+        """Encode new pieces; returns their numbers."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum()))
+        first = self._store(ids, sizes)
+        return range(first, first + len(pieces))
+
+    def _learn_spaced(self, pieces: list[str]) -> range:
+        """The same for pieces that follow a blank and hold none."""
+        n = len(pieces)
+        joined = ["".join([f" {p}" for p in pieces[k:k + self.TOGETHER]]) for k in range(0, n, self.TOGETHER)]
+        found = [np.array(e.ids, self.dtype)
+                 for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found) if found else np.empty(0, self.dtype)
+        starts = np.flatnonzero(self.opens[ids])
+        if len(starts) != n or n and starts[0]:
+            return self._learn([f" {p}" for p in pieces])
+        first = self._store(ids, np.diff(np.append(starts, len(ids))))
+        return range(first, first + n)
+
+    def _even(self, text: str) -> bool:
+        return not ("  " in text or " \n" in text or "\n " in text or any(c in text for c in self.RARE))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a long text is taken in parts of about ``GROUP`` characters."""
@@ -114,27 +176,47 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT_PIECES or self.used > KEPT_IDS:
-            self._forget()
-        cut = [self.CUT.split(t) for t in texts]
-        pieces = [p for ps in cut for p in ps]
-        new = {p for p in set(pieces) if p not in self.known}
-        long = [p for p in new if len(p) > KEPT_LENGTH]
-        self._learn([p for p in new if len(p) <= KEPT_LENGTH])
-        used = self.used
-        self._learn(long)
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        inner = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        ids = self.pool[np.repeat(self.starts[at], sizes) + inner]
-        # Long pieces are used once; their ids do not stay.
-        for piece in long:
-            del self.known[piece]
-        self.used = used
-        upto = np.cumsum([len(ps) for ps in cut])
-        bounds = ends[upto - 1] if len(cut) else []
-        return np.split(ids, bounds[:-1]) if len(cut) else []
+        if not texts:
+            return []
+        if self.count > KEPT_PIECES or self.used > KEPT_IDS:
+            self._trim()
+        # Even texts: what precedes the first blank, then pieces after one blank each.
+        uneven = [not self._even(t) for t in texts]
+        cut = [self.CUT.split(t) if odd else t.split(" ") for t, odd in zip(texts, uneven)]
+        plain = {p for ps, odd in zip(cut, uneven) for p in (ps if odd else ps[:1])}
+        spaced = set(chain.from_iterable(ps[1:] for ps, odd in zip(cut, uneven) if not odd))
+        fresh = list(plain.difference(self.plain)), list(spaced.difference(self.after_blank))
+        self.plain.update(zip(fresh[0], self._learn(fresh[0])))
+        self.after_blank.update(zip(fresh[1], self._learn_spaced(fresh[1])))
+        first, later = self.plain.__getitem__, self.after_blank.__getitem__
+        at: list[int] = []
+        for ps, odd in zip(cut, uneven):
+            if odd:
+                at.extend(map(first, ps))
+            else:
+                at.append(first(ps[0]))
+                at.extend(map(later, ps[1:]))
+        numbers = np.array(at, np.int64)
+        self.uses[:self.count] += np.bincount(numbers, minlength=self.count)
+        ids = self._ids(numbers)
+        for known, new in zip((self.plain, self.after_blank), fresh):
+            for piece in new:
+                if len(piece) > KEPT_LENGTH:
+                    del known[piece]
+        last = np.cumsum([len(ps) for ps in cut]) - 1
+        return np.split(ids, np.cumsum(self.sizes[numbers])[last][:-1])
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """This process's encoder; what it has learnt serves the next task of the same worker too."""
+    key = zlib.crc32(definition.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
 
 
 def _filesystem(uri: str):
@@ -316,10 +398,9 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, folder: str | No
         writer = None
         for doc_ids, texts in _groups(batches):
             if writer is None:
-                encoder = Encoder(definition)
-                if end_id > np.iinfo(encoder.dtype).max:
-                    encoder.dtype = np.uint32
-                writer = Writer(folder, encoder.dtype, doc_ids.type, length, rows)
+                encoder = encoder_of(definition)
+                dtype = encoder.dtype if end_id <= np.iinfo(encoder.dtype).max else np.uint32
+                writer = Writer(folder, dtype, doc_ids.type, length, rows)
             writer.add(doc_ids, encoder.encode(texts), end_id)
         if writer is not None:
             name, n_docs, n_tokens = writer.close()

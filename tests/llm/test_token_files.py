@@ -24,9 +24,9 @@ def plain(definition=DEFINITION):
 
 def odd_texts():
     rng = random.Random(4)
-    signs = "ab1 É🙂'st.,\n\t\r\x0b\x1c\x85\xa0　  #"
+    signs = "ab1 É🙂'st.,\n\t\r\x0b\x1c\x85\xa0　  #!?×"
     return ["", " ", "  a", "a  b", "a b", " a b ", "it's we'll", "x" * 500 + " y", "<|endoftext|> a <|endoftext|>",
-            "é" * 300 + " z", "# 2 #"] + ["".join(rng.choices(signs, k=rng.choice([1, 3, 9, 60]))) for _ in range(600)]
+            "é" * 300 + " z", "# 2 #", "one.\nTwo\n\nthree,\n four\n", "A.b,c;d:e!f?g", "it's.'s,'ll", "a\n.b", "x .y"] + ["".join(rng.choices(signs, k=rng.choice([1, 3, 9, 60]))) for _ in range(600)]
 
 
 @pytest.mark.parametrize("definition", [DEFINITION, WORDS])
