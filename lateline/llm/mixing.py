@@ -120,11 +120,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS,
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` as often as they are taken, with the repetition's number.
 
-    doc_id must tell rows apart here; rows that repeat a doc_id are taken as often as the most
-    taken of them.
+    The number is in a last column ``repetition``, from 1; a column of that name in ``docs`` is
+    replaced. doc_id must tell rows apart here; rows that repeat a doc_id (or have none) are taken
+    as often as the most taken of them. Null texts and sources as in `mix_sources`; an empty table
+    gives an empty result.
     """
     taken = (mix_sources(docs, **options).filter("copies > 0")
-             .groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")))
-    return (docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-            .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-                    .alias("repetition")))
+             .groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies")))
+    # Both sides under names of their own, whatever the documents' columns are called.
+    rows = docs.select(F.col("doc_id").alias("key"), F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "repetition"]).alias("row"))
+    times = taken.select(F.col("doc_id").alias("taken_key"), "copies")
+    return (rows.join(times, F.col("key").eqNullSafe(F.col("taken_key")))
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("repetition"))
+            .select("row.*", "repetition"))

@@ -14,13 +14,6 @@ Fingerprints there go by midpoints instead: two values within 2 bits share a val
 bit from both. Each value names its 65 neighbours; a neighbour has at most 65 namers, all of
 which are within 2 bits of each other, so a star of at most 64 edges joins them without loss.
 
-Near copies at a Jaccard similarity (`near_copies`, the corpus stage) use the same ring over wider
-fingerprints: 48 segments, each the least of the text's shingle hashes under a permutation of its
-own. A segment of two texts differs with probability 1 - similarity, so at 0.8 about 10 of 48 do,
-while a key stays three whole hashes. Over 64 SimHash bits the same similarity means 12 bits and
-more, for which the ring leaves a key of 4 bits: every pair of texts would be a candidate.
-Candidates are confirmed by the Jaccard similarity of their whole shingle sets.
-
 Components follow from large-star / small-star rounds over the edges, which stay distributed; each
 round is written to the shared folder.
 """
@@ -32,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lateline.session import materialize
 
@@ -42,9 +35,6 @@ BITS = 64
 SEGMENTS = 16
 MAX_DISTANCE = 2
 DENSE = 32
-#: Near copies: words of a shingle, segments, differing segments, and the similarity that counts.
-COPY_SHINGLE, COPY_SEGMENTS, COPY_DISTANCE, SIMILARITY = 5, 48, 15, 0.8
-STAR_ROUNDS = 3
 #: Byte value -> its 8 bits as 8 byte lanes, so that sums of up to 255 rows need no carry.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view("<u8").ravel()
 
@@ -107,15 +97,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 flush()
         flush()
         values = np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.int64())],
-                                         names=["doc_id", "fp"])
+        rest = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in rest), pa.array(values, pa.int64())], names=[*rest, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint (its 64 bits as a signed number) of each whole text."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        _fingerprint_batches, f"doc_id {id_type}, fp long")
+def fingerprints(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """doc_id, ``keep`` and the fingerprint (its 64 bits as a signed number) of each whole text."""
+    rest = docs.select("doc_id", *keep)
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rest.schema)
+    return docs.select(*rest.columns, "text").mapInArrow(_fingerprint_batches, f"{columns}, fp long")
 
 
 def _rotated(fp: Column, segment: int, width: int) -> Column:
@@ -197,8 +188,9 @@ def components(edges: DataFrame) -> DataFrame:
                  .unionAll(down.select(F.col("m").alias("x"), F.col("b").alias("y")))
                  .filter("x <> y").distinct())
         edges = materialize(small.select(F.col("x").alias("a"), F.col("y").alias("b")), "stars")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")),
-                          F.sum(F.col("b").cast("decimal(38,0)"))).first()
+        # Equal sums of two hashes of the edges: the same edges, but for a chance of 2^-128.
+        state = edges.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(k), "a", "b").cast("decimal(38,0)"))
+                                               for k in (1, 2)]).first()
         if state == total:
             break
         total = state
@@ -206,181 +198,47 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("label").alias("node"), "label").distinct())
 
 
-def near_dedup(docs: DataFrame, dense: int = DENSE) -> DataFrame:
-    """doc_id, fingerprint (hex) and component_id for every row of ``docs``.
-
-    Texts without words (null, empty, blank) have fingerprint zero, which links like any other.
-    component_id is the smallest doc_id of the component; a null doc_id counts only where there is
-    no other. Repeated rows give a row each; an empty table gives an empty result; texts have no
-    length limit; columns besides doc_id and text are ignored.
-    """
-    rows = materialize(fingerprints(docs), "fingerprints")
+def _components(docs: DataFrame, keep: list[str], dense: int = DENSE) -> DataFrame:
+    """doc_id, fp, the component's number and smallest doc_id, and the columns ``keep``, of every row."""
+    rows = materialize(fingerprints(docs, keep), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     labels = components(links(distinct.select("fp"), dense))
     linked = (distinct.join(labels, distinct["fp"] == labels["node"])
               .select("fp", "label", "first_id"))
     roots = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = linked.join(roots, "label").select("fp", "component_id")
+    members = linked.join(roots, "label").select("fp", F.col("label").alias("component"), "component_id")
     alone = distinct.join(labels, distinct["fp"] == labels["node"], "left_anti").select(
-        "fp", F.col("first_id").alias("component_id"))
-    return (rows.join(members.unionByName(alone), "fp")
-            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    "component_id"))
-
+        "fp", F.col("fp").alias("component"), F.col("first_id").alias("component_id"))
+    return rows.join(members.unionByName(alone), "fp")
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
-
-
-def _set_number(shingles: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
+def near_dedup(docs: DataFrame, dense: int = DENSE) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id for every row of ``docs``.
 
-def ring_keys(sets: list[np.ndarray], segments: int, distance: int) -> np.ndarray:
-    """Per non-empty set and start on the ring the hash of the leading segments."""
-    lead = next(n for n in range(1, segments + 1) if n * distance >= segments) - 1
-    odd = np.random.default_rng(SEED).integers(1 << 63, size=segments + 1, dtype=np.uint64) * 2 + 1
-    joined = np.concatenate(sets)
-    starts = np.cumsum([0, *map(len, sets[:-1])])
-    least = np.stack([np.minimum.reduceat(joined * a, starts) for a in odd[1:]], axis=1)
-    keys = least.copy()
-    for n in range(1, lead):
-        keys = (keys ^ keys >> np.uint64(29)) * odd[0] + np.roll(least, -n, axis=1)
-    return keys.view(np.int64)
-
-
-def _ring(docs: DataFrame, shingle: int, segments: int, distance: int) -> DataFrame:
-    """doc_id, node (number of the shingle set) and the set's keys, none if it is empty."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, keys, held, n = [], [], [], 0
-
-            def flush():
-                nonlocal held, n
-                full = [x for x in held if len(x)]
-                found = iter(ring_keys(full, segments, distance) if full else ())
-                keys.extend(next(found) if len(x) else [] for x in held)
-                held, n = [], 0
-
-            for text in batch.column("text"):
-                held.append(shingle_set(text.as_py(), shingle))
-                nodes.append(_set_number(held[-1]))
-                n += len(held[-1])
-                if n > 200_000:
-                    flush()
-            flush()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "keys"])
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, node long, keys array<long>")
-
-
-def _sets_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """node and its shingles for ``nodes``; only their documents are read into sets again."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text").slice(at, 256)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_set_number(x) for x in sets], pa.int64()),
-                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    ["node", "shingles"])
-
-    ids = (rows.join(nodes, "node", "left_semi").groupBy("node")
-           .agg(F.min("doc_id").alias("_id")).select("_id").distinct())
-    texts = docs.select("doc_id", "text").join(
-        ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return (texts.mapInArrow(run, "node long, shingles array<long>")
-            .join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least the Jaccard ``similarity``."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"))
-    n, m = F.size("sa"), F.size("sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(F.least(n, m) >= similarity * F.greatest(n, m))
-            .filter(both >= similarity * (n + m - both)).select("a", "b"))
-
-
-def copy_links(docs: DataFrame, rows: DataFrame, similarity: float, shingle: int,
-               dense: int) -> DataFrame:
-    """Edges (a, b) that join all nodes of ``rows`` that share a key and are similar enough.
-
-    A key of more than ``dense`` nodes goes by stars first: its nodes meet one of them, another in
-    each round. Only nodes that the components so far keep apart are then paired.
-    """
-    distinct = rows.groupBy("node").agg(F.first("keys").alias("keys"))
-    keys = materialize(distinct.select("node", F.posexplode("keys").alias("start", "key")), "copy-keys")
-    sizes = keys.groupBy("start", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialize(keys.join(sizes, ["start", "key"]), "copy-shared")
-    sets = materialize(_sets_of(docs, rows, shared.select("node").distinct(), shingle), "copy-sets")
-    few, many = shared.filter(F.col("n") <= dense), shared.filter(F.col("n") > dense)
-
-    def pairs_of(members: DataFrame, apart: str) -> DataFrame:
-        left = members.select("start", "key", F.col("node").alias("a"), F.col(apart).alias("la"))
-        right = members.select("start", "key", F.col("node").alias("b"), F.col(apart).alias("lb"))
-        return left.join(right, ["start", "key"]).filter("la < lb").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    stars = None
-    for k in range(STAR_ROUNDS):
-        centre = many.groupBy("start", "key").agg(
-            F.min_by("node", F.xxhash64("node", F.lit(k))).alias("c"))
-        star = many.join(centre, ["start", "key"]).filter("node <> c").select(
-            F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-        stars = star if stars is None else stars.unionByName(star)
-    found = materialize(_confirmed(
-        pairs_of(few, "node").unionByName(stars).distinct(), sets, similarity), "copy-edges")
-    if many.isEmpty():
-        return found
-    labelled = materialize(many.join(components(found), "node", "left")
-                           .withColumn("label", F.coalesce("label", "node")), "copy-labels")
-    mixed = (labelled.groupBy("start", "key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-             .filter("x < y").select("start", "key"))
-    rest = pairs_of(labelled.join(mixed, ["start", "key"], "left_semi"), "label")
-    return found.unionByName(_confirmed(rest, sets, similarity)).distinct()
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = COPY_SHINGLE,
-                segments: int = COPY_SEGMENTS, distance: int = COPY_DISTANCE,
-                dense: int = DENSE) -> DataFrame:
-    """doc_id and component_id for every row of ``docs``.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``shingle`` words is at least
-    ``similarity``; candidates are all pairs that differ in at most ``distance`` of ``segments``
-    ring segments. Texts with equal sets (texts without words too) are one. component_id is as in
-    `near_dedup`, and so are nulls, repeated rows and empty tables.
+    Texts without words (null, empty, blank) have fingerprint zero, which links like any other.
+    component_id is the smallest doc_id of the component; a null doc_id counts only where there is
+    no other. Repeated rows give a row each; an empty table gives an empty result; texts have no
+    length limit; columns besides doc_id and text are ignored.
     """
-    rows = materialize(_ring(docs, shingle, segments, distance), "copy-rows")
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    labels = components(copy_links(docs, rows, similarity, shingle, dense))
-    linked = materialize(firsts.join(labels, "node", "left")
-                         .withColumn("label", F.coalesce("label", "node")), "copy-nodes")
-    roots = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    members = linked.join(roots, "label").select("node", "component_id")
-    return rows.select("doc_id", "node").join(members, "node").select("doc_id", "component_id")
-
-
-def _keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    stay = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi").select(*docs.columns)
+    return _components(docs, [], dense).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all columns.
+    """One row of ``docs`` per component, with all columns: one of its smallest doc_id.
 
-    A group whose ids are all null keeps its null rows.
+    Of rows that share this doc_id the one with the smallest fingerprint stays, of equal ones the
+    one with the smallest hash of its text, of repeated rows one. A component whose ids are all
+    null keeps one row too. An empty table gives an empty result.
     """
-    return _keep_first(docs, near_dedup(docs))
-
-
-def keep_one_near_copy(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """As `keep_one_per_group`, with the groups of `near_copies`."""
-    return _keep_first(docs, near_copies(docs, similarity))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = materialize(_components(docs.select("doc_id", "text", F.xxhash64(text).alias("_hash")), ["_hash"]),
+                       "components")
+    first = rows.groupBy("component").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unknown"), "doc_id", "fp", "_hash")).alias("m"))
+    stay = first.select(F.col("m.doc_id").alias("_id"), F.col("m._hash").alias("_kept")).distinct()
+    keyed = docs.withColumn("_hash", F.xxhash64(text))
+    once = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
+    return (keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_hash"] == stay["_kept"]),
+                       "left_semi")
+            .withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns))
