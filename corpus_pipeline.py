@@ -24,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts joined by near copies (five-word Jaccard of 0.8 or more) the smallest doc_id."""
-    return simhash.keep_one_near_copy(docs)
+    """Of texts joined by fingerprints at most two bits apart the document with the smallest doc_id."""
+    return simhash.keep_one_per_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
