@@ -4,21 +4,26 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from checks.audit_queries import GAPS
 from checks.feature_queries import ALL_VIEWS, FACT, SCALED, rounded, tables
 from checks.federated_queries import EPOCHS, ROUNDS, moments
 from checks.realtime_queries import FACTS, FLAT
 from checks.registry import query, with_views
-from checks.rollup_queries import HOURS, QUARTERS, STOP_KEYS, quarter_sql
+from checks.rollup_queries import HOURS, QUARTERS, STOP_KEYS, day_sql, hour_sql, quarter_sql
 from checks.schedule_queries import digest_sql
+from lateline.functions.clock import local_date
 from lateline.operators import audits, federated, realtime, retention, rollups
 from lateline.plans.federation_run import compare_with_local, federated_rounds
+from lateline.plans.key_store import KeyStore
 from lateline.plans.nightly import NightlyPaths, nightly
-from lateline.plans.rollup_store import write_rollup
+from lateline.plans.rollup_store import RollupStore
 from lateline.schema import DELAY_FACT, SCHEDULE_LOOKUP
-from lateline.session import new_path
+from lateline.session import materialize, new_path
 from lateline.sources import packages, sinks, tables as sources
+from lateline.sources.lookup_store import StoredLookup
 from lateline.streaming import rollups as streaming
-from lateline.streaming.realtime import RealtimePaths, start_realtime
+from lateline.streaming.realtime import RealtimePaths, process_batch, start_realtime
+from lateline.streaming.state import start_fact_stream, watch_runs
 
 UTC = dt.timezone.utc
 DAY = dt.date(2024, 1, 10)
@@ -274,12 +279,118 @@ def _(v):
     WHERE {DAY_SQL.format('ts')}"""))
 def _(v):
     root = new_path(v.spark, "nightly")
-    paths = NightlyPaths(f"{root}/r15", f"{root}/r15stop", f"{root}/export", f"{root}/verified")
-    write_rollup(rollups.rollup_15min(v.facts_copy), "15min", paths.rollup_15min)
+    paths = NightlyPaths(*(f"{root}/{n}" for n in ("rollups", "export", "verified", "purged")))
+    RollupStore(v.spark, paths.rollups).rebuild(v.facts_copy)
     return nightly(v.spark, v.delay_fact, v.run_log, {"dim_operator": v.dim_operator}, paths, DAY,
                    dt.datetime(2024, 1, 30, 3, 30, tzinfo=UTC))
 
 
+def facts_by_day(v, source=None):
+    """The facts by local day, as the stream stores them."""
+    path = new_path(v.spark, "facts")
+    facts = v.delay_fact if source is None else source
+    facts.withColumn("dt", local_date("ts")).write.partitionBy("dt").parquet(path)
+    return path
+
+
+NEXT_DAY = dt.date(2024, 1, 11)
+NIGHT = dt.datetime(2024, 1, 30, 3, 30, tzinfo=UTC)
+
+
+def two_nights(v):
+    """A night that purges its day, and a late run for the day after it."""
+    root = new_path(v.spark, "nights")
+    paths = NightlyPaths(*(f"{root}/{n}" for n in ("rollups", "export", "verified", "purged")),
+                         facts=facts_by_day(v))
+    for day in (DAY, NEXT_DAY):
+        fact = v.spark.read.parquet(paths.facts)
+        nightly(v.spark, fact, v.run_log, {n: v.view(n) for n in DIM_NAMES}, paths, day, NIGHT)
+    return paths
+
+
+@query("M3_purge", with_views("delay_fact", """
+    SELECT * FROM delay_fact WHERE NOT (ts >= TIMESTAMP '2024-01-09 23:00:00'
+      AND ts < TIMESTAMP '2024-01-11 23:00:00')"""))
+def _(v):
+    return v.spark.read.parquet(two_nights(v).facts).drop("dt")
+
+
+@query("M3_late_run", with_views("delay_fact", """
+    SELECT * FROM c1 WHERE bucket >= TIMESTAMP '2024-01-09 22:00:00'
+      AND bucket < TIMESTAMP '2024-01-12 23:00:00'""", QUARTERS))
+def _(v):
+    stored = RollupStore(v.spark, two_nights(v).rollups).read("15min").drop("dt")
+    low, high = (F.lit(dt.datetime(2024, 1, d, h, tzinfo=UTC)) for d, h in ((9, 22), (12, 23)))
+    return stored.where((F.col("bucket") >= low) & (F.col("bucket") < high))
+
+
+def late_store(v):
+    """Rollups of the facts without the cancellations of a day, which come in ten days later."""
+    store = RollupStore(v.spark, new_path(v.spark, "rollups"))
+    store.rebuild(v.facts_copy)
+    store.log_touched(v.delay_fact.where(
+        (F.col("status") == "CANCELED") & (F.col("service_date") == dt.date(2024, 1, 10))))
+    store.refresh_touched(v.spark.read.parquet(facts_by_day(v)))
+    return store
+
+
+@query("C5_stored_15min", with_views("delay_fact", "SELECT * FROM c1", QUARTERS))
+def _(v):
+    return late_store(v).read("15min").drop("dt")
+
+
+@query("C5_stored_day", with_views("delay_fact", day_sql("c2"), HOURS))
+def _(v):
+    return late_store(v).read("day").drop("dt")
+
+
+@query("C7_stored_version", with_views("delay_fact", hour_sql("c1"), QUARTERS))
+def _(v):
+    store = RollupStore(v.spark, new_path(v.spark, "rollups"))
+    store.rebuild(v.facts_copy, version=1)
+    store.ensure_definition(v.delay_fact, version=2)
+    store.ensure_definition(v.facts_copy, version=2)      # nothing to do
+    return store.read("1h").drop("dt")
+
+
+@query("C8_stored", with_views(
+    "delay_fact", "SELECT * FROM c4 WHERE bucket >= TIMESTAMP '2024-01-17 03:00:00'",
+    f"c4 AS ({quarter_sql('delay_fact', STOP_KEYS)})"))
+def _(v):
+    store = RollupStore(v.spark, new_path(v.spark, "rollups"))
+    store.rebuild(v.delay_fact)
+    store.expire_stops(dt.datetime(2024, 1, 31, 3, 0, tzinfo=UTC))
+    return store.read("15min_stop").drop("dt")
+
+
+def digest_trees(v):
+    paths = [new_path(v.spark, n) for n in ("source", "copy")]
+    for table, path in zip((v.delay_fact, v.facts_copy), paths):
+        retention.write_digest_tree(table, path, DELAY_FACT.fieldNames())
+    return paths
+
+
+@query("M1_locate", with_views("delay_fact facts_copy", """
+    SELECT day, range, coalesce(a.n, 0) AS n_source, coalesce(b.n, 0) AS n_copy
+    FROM (SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) AS day, substr(md5(trip_id), 1, 2) AS range,
+            count(*) AS n FROM delay_fact GROUP BY ALL) a
+    FULL JOIN (SELECT CAST(ts + INTERVAL '1' HOUR AS DATE) AS day, substr(md5(trip_id), 1, 2) AS range,
+            count(*) AS n FROM facts_copy GROUP BY ALL) b USING (day, range)
+    WHERE a.n IS DISTINCT FROM b.n"""))
+def _(v):
+    return retention.locate_differences(v.spark, *digest_trees(v))
+
+
+@query("M1_differing_rows", with_views("delay_fact facts_copy", f"""
+    SELECT *, 1 AS n_source, 0 AS n_copy FROM (
+      SELECT {FACT} FROM delay_fact EXCEPT ALL SELECT {FACT} FROM facts_copy) x"""))
+def _(v):
+    places = retention.locate_differences(v.spark, *digest_trees(v))
+    source, copy = (v.spark.read.parquet(facts_by_day(v, t)) for t in (v.delay_fact, v.facts_copy))
+    found = retention.differing_rows(source, copy, places, DELAY_FACT.fieldNames())
+    return found.select(*DELAY_FACT.fieldNames(), *[F.col(n).cast("int").alias(n) for n in ("n_source", "n_copy")])
+
+
 # --- streams, run to the end of their input ---
 
 def streamed(v, build):
@@ -324,3 +435,114 @@ def _(v):
         .write.parquet(paths.lookup)
     start_realtime(v.spark, paths, {"availableNow": True}).awaitTermination()
     return v.spark.read.schema(DELAY_FACT).parquet(paths.facts).drop("dt")
+
+
+def stored_lookup(v):
+    path = new_path(v.spark, "lookup")
+    lookup = StoredLookup(v.spark, path.rsplit("/", 1)[1].replace("-", "_"), path, buckets=8)
+    lookup.write(v.schedule_lookup, 1)
+    return lookup
+
+
+@query("R8_stored_lookup", with_views("feed_updates schedule_lookup", "SELECT * FROM facts", FACTS))
+def _(v):
+    return realtime.process_feed(v.snapshots, stored_lookup(v), 1).drop("entity_no", "stop_no")
+
+
+@query("R10_stream_state", with_views("feed_updates schedule_lookup", "SELECT * FROM facts", FACTS))
+def _(v):
+    """Three deliveries, each with the day before it again, and a restart between them."""
+    facts = materialize(realtime.first_per_key(
+        realtime.process_feed(v.snapshots, v.schedule_lookup, 1)), "facts")
+    arriving, stored, state = (new_path(v.spark, n) for n in ("arriving", "facts", "state"))
+    edges = [dt.datetime(2000, 1, 1, tzinfo=UTC), dt.datetime(2024, 1, 11, tzinfo=UTC),
+             dt.datetime(2024, 1, 21, tzinfo=UTC), dt.datetime(2100, 1, 1, tzinfo=UTC)]
+    for low, high in zip(edges, edges[1:]):
+        due = facts.where((F.col("ts") >= F.lit(low - dt.timedelta(days=1))) & (F.col("ts") < F.lit(high)))
+        due.write.mode("append").parquet(arriving)
+        start_fact_stream(v.spark, arriving, stored, state, {"availableNow": True}).awaitTermination()
+    return v.spark.read.schema(DELAY_FACT).parquet(stored).drop("dt")
+
+
+ALL_VERSIONS = """
+    SELECT l.version_id, l.trip_id, concat('v', CAST(l.version_id AS VARCHAR), '-', stop_id) AS stop_id,
+      stop_sequence, line_id, operator_id, direction, day_offset
+    FROM (SELECT * EXCLUDE (version_id), unnest([1, 2, 3, 4, 5]) AS version_id FROM schedule_lookup) l"""
+CHANGING = f"""
+  flat AS (SELECT *, coalesce((SELECT arg_max(version_id, loaded_at) FROM schedule_version
+        WHERE loaded_at <= header_ts + INTERVAL '5' SECOND),
+      (SELECT arg_min(version_id, loaded_at) FROM schedule_version)) AS version FROM feed_updates),
+  all_versions AS ({ALL_VERSIONS}),
+  one_stop AS (SELECT version_id, trip_id, stop_sequence, min(stop_id) AS stop_id
+    FROM all_versions GROUP BY ALL),
+  planned AS (
+    SELECT header_ts, version, trip_id, 0 AS seq, 'CANCELED' AS status, NULL AS delay_s
+    FROM flat WHERE canceled GROUP BY ALL
+    UNION ALL
+    SELECT header_ts, version, trip_id, stop_sequence, CASE WHEN skipped THEN 'SKIPPED'
+      ELSE 'OBSERVED' END, CASE WHEN NOT skipped THEN delay_s END
+    FROM flat WHERE NOT canceled AND stop_sequence IS NOT NULL AND (skipped OR delay_s IS NOT NULL)),
+  facts AS (
+    SELECT header_ts AS ts, version AS version_id, p.trip_id, l.stop_id, l.stop_sequence, line_id,
+      operator_id, direction,
+      CAST(CAST(header_ts + INTERVAL '1' HOUR AS DATE) - CAST(day_offset AS INT) AS DATE) AS service_date,
+      CAST(delay_s AS INT) AS delay_s, status
+    FROM planned p JOIN all_versions l ON l.trip_id = p.trip_id AND l.version_id = p.version
+      AND (status = 'CANCELED' OR l.stop_sequence = p.seq)
+    LEFT JOIN one_stop o ON o.version_id = l.version_id AND o.trip_id = l.trip_id
+      AND o.stop_sequence = l.stop_sequence
+    WHERE status = 'CANCELED' OR o.stop_id = l.stop_id)"""
+
+
+@query("R13_version_change", with_views(
+    "feed_updates schedule_lookup schedule_version", "SELECT * FROM facts", CHANGING))
+def _(v):
+    """One batch with the backlog of all versions: each snapshot meets the version of its time."""
+    root = new_path(v.spark, "backlog")
+    paths = RealtimePaths(**{n: f"{root}/{n}" for n in (
+        "snapshots", "versions", "lookup", "facts", "runs", "checkpoint")})
+    v.schedule_version.write.parquet(paths.versions)
+    versions = F.explode(F.array(*[F.lit(k) for k in range(1, 6)]))
+    named = F.concat(F.lit("v"), F.col("version_id").cast("string"), F.lit("-"), F.col("stop_id"))
+    (v.schedule_lookup.withColumn("version_id", versions).withColumn("stop_id", named)
+     .select(*[F.col(f.name).cast(f.dataType) for f in SCHEDULE_LOOKUP])
+     .write.partitionBy("version_id").parquet(paths.lookup))
+    arrived = F.timestamp_seconds(F.col("header.timestamp") + 5)
+    process_batch(v.snapshots.withColumns({"arrived_at": arrived, "source": F.lit("backlog")}), paths)
+    return v.spark.read.schema(DELAY_FACT).parquet(paths.facts).drop("dt")
+
+
+@query("A8_stored_bitmaps", with_views("delay_fact dim_line dim_operator dim_stop", """
+    SELECT (SELECT count(*) FROM dim_line) AS line_size,
+      (SELECT count(DISTINCT line_id) FROM delay_fact) AS line_used,
+      (SELECT count(*) FROM dim_operator) AS operator_size,
+      (SELECT count(DISTINCT operator_id) FROM delay_fact) AS operator_used,
+      (SELECT count(*) FROM dim_stop) AS stop_size,
+      (SELECT count(DISTINCT stop_id) FROM delay_fact) AS stop_used,
+      (SELECT count(DISTINCT service_date) FROM delay_fact) AS date_used"""))
+def _(v):
+    """The days come in two parts; the second is read by itself."""
+    store = KeyStore(v.spark, new_path(v.spark, "keys"))
+    early = local_date("ts") < F.lit(dt.date(2024, 1, 15))
+    for part in (early, ~early):
+        store.add(v.delay_fact.where(part))
+    sizes = {n: v.view(f"dim_{n}").agg(F.count(F.lit(1))).scalar() for n in ("line", "operator", "stop")}
+    used = store.used()
+    return used.select(*[c for n, size in sizes.items() for c in (
+        size.alias(f"{n}_size"), F.col(f"{n}_id").alias(f"{n}_used"))], F.col("service_date").alias("date_used"))
+
+
+@query("A11_stream_gaps", with_views("run_log", "SELECT * FROM gaps", GAPS))
+def _(v):
+    """The run log in three deliveries, each followed by a restart of the stream."""
+    runs = materialize(v.run_log, "runs")
+    arriving, found, state = (new_path(v.spark, n) for n in ("arriving", "gaps", "state"))
+    edges = [dt.datetime(y, 1, d, tzinfo=UTC) for y, d in ((2000, 1), (2024, 10), (2024, 20), (2100, 1))]
+    for low, high in zip(edges, edges[1:]):
+        runs.where((F.col("started_at") >= F.lit(low)) & (F.col("started_at") < F.lit(high))) \
+            .write.mode("append").parquet(arriving)
+        stream = v.spark.readStream.schema(runs.schema).parquet(arriving)
+        (watch_runs(stream, 15).writeStream.format("parquet").option("path", found)
+         .option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
+         .start().awaitTermination())
+    return v.spark.read.parquet(found).where("kind = 'gap'").drop("kind")

@@ -42,3 +42,49 @@ def content_digest(df: DataFrame, columns: list[str], by: list[str] = ()) -> Dat
           for s in sums])
     text = F.concat_ws("|", F.col("n_rows").cast("string"), *sums)
     return total.select(*by, "n_rows", F.sha2(text, 256).alias("digest"))
+
+
+# --- a tree of digests ---
+
+_SUMS = [f"s{i}" for i in range(_WORDS)]
+_DIGITS = 2
+
+
+def key_range(key: Column | str, digits: int = _DIGITS) -> Column:
+    """The range of a key: the leading hex digits of its MD5, so that all ranges are alike in size."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, digits)
+
+
+def digest_leaves(df: DataFrame, columns: list[str], by: list[str], key: str,
+                  digits: int = _DIGITS) -> DataFrame:
+    """``by``, ``range``, ``n_rows`` and the sums of the rows' hash words: the leaves of the tree.
+
+    The sums add up, so leaves of new rows can be added to stored ones, and parents are sums of
+    their children. A leaf that holds a third of all rows is combined map-side like any other.
+    """
+    row_hash = F.sha2(F.concat_ws("|", *[_encoded(df, c) for c in columns]), 256)
+    words = [F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(_WORDS)]
+    return (df.select(*by, key_range(key, digits).alias("range"), row_hash.alias("_h"))
+            .groupBy(*by, "range", F.substring("_h", 1, 2).alias("_byte"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(w).alias(s) for w, s in zip(words, _SUMS)])
+            .groupBy(*by, "range").agg(*_added()))
+
+
+def _added() -> list[Column]:
+    return [F.sum("n_rows").alias("n_rows"),
+            *[F.sum(F.col(s).cast("decimal(20,0)")).cast("decimal(30,0)").alias(s) for s in _SUMS]]
+
+
+def digest_parents(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """The nodes one level up: sums over everything but ``by``; all of it without ``by``."""
+    return nodes.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", *_SUMS)])
+
+
+def differing(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, n_left, n_right of the nodes that are not equal; a node one side lacks has 0 rows."""
+    a = left.select(*by, F.col("n_rows").alias("n_left"), F.struct("n_rows", *_SUMS).alias("_a"))
+    b = right.select(*by, F.col("n_rows").alias("n_right"), F.struct("n_rows", *_SUMS).alias("_b"))
+    same = F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    return a.join(b, by, "full").where(~same).select(
+        *by, F.coalesce("n_left", F.lit(0)).alias("n_left"), F.coalesce("n_right", F.lit(0)).alias("n_right"))

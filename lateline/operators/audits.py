@@ -140,6 +140,38 @@ def dimension_coverage(fact: DataFrame, dim_line: DataFrame, dim_operator: DataF
         dim.agg(F.count(F.lit(1))).scalar().alias(f"{name}_size"), F.col(f"{name}_used"))])
 
 
+def key_dictionary(known: DataFrame, fact: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows (column, key, number) for the keys of ``fact`` that the dictionary ``known`` lacks.
+
+    Numbers are unique per dictionary and never change; they have gaps, as every task counts alone.
+    """
+    keys = fact.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in columns])).alias("k"))
+    new = keys.select("k.*").where("key IS NOT NULL").distinct().join(known, ["column", "key"], "left_anti")
+    base = known.agg(F.coalesce(F.max("number"), F.lit(-1))).first()[0] + 1
+    return new.withColumn("number", F.monotonically_increasing_id() + F.lit(base).cast("bigint"))
+
+
+def key_bitmaps(fact: DataFrame, dictionary: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``by``, column, bucket and a bitmap of the numbers of the keys used, to be stored per day.
+
+    Facts shrink to distinct keys map-side; bitmaps of any parts join by ``bitmap_or_agg``.
+    """
+    keys = fact.select(*by, F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).cast("string").alias("key")) for c in columns])).alias("k"))
+    used = keys.select(*by, "k.*").where("key IS NOT NULL").distinct().join(dictionary, ["column", "key"])
+    return used.groupBy(*by, "column", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("keys"))
+
+
+def keys_used(bitmaps: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with the exact number of distinct keys per column, from stored bitmaps."""
+    joined = bitmaps.groupBy("column", "bucket").agg(F.bitmap_or_agg("keys").alias("keys"))
+    counted = joined.agg(*[F.coalesce(F.sum(F.when(F.col("column") == c, F.bitmap_count("keys"))), F.lit(0))
+                           .cast("bigint").alias(c) for c in columns])
+    return counted
+
+
 def day_type_coverage(fact: DataFrame, dim_date: DataFrame) -> DataFrame:
     """Distinct service dates by day type; dates are reduced before the join."""
     dates = fact.select(F.col("service_date").alias("date")).distinct()

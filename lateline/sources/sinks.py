@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lateline.constants import TIME_ZONE
 from lateline.functions.clock import local_date, local_time
 from lateline.schema import DELAY_FACT, RUN_LOG
+from lateline.session import delete_folder
 from lateline.sources.tables import read_or_empty
 
 
@@ -98,10 +99,8 @@ def export_lookup_snapshot(lookup: DataFrame, version_id: int, day: dt.date, pat
 
 def drop_partitions(spark: SparkSession, path: str, column: str, values: list) -> None:
     """Delete the stored table's partitions of these values; the others are not touched."""
-    context = spark.sparkContext
     for value in values:
-        folder = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, f"{path}/{column}={value}")
 
 
 def archive_snapshots(raw: DataFrame, path: str, zone: str = TIME_ZONE) -> None:

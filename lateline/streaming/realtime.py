@@ -15,7 +15,7 @@ from lateline.operators.realtime import (
     FACT_COLUMNS, insert_new_facts, log_run, new_snapshots, process_feed, version_in_force,
 )
 from lateline.schema import DELAY_FACT, RUN_LOG, SCHEDULE_LOOKUP, SCHEDULE_VERSION
-from lateline.session import materialize
+from lateline.session import materialize, temporary_tables
 from lateline.sources.lookup_store import StoredLookup
 from lateline.sources.sinks import archive_snapshots
 from lateline.sources.tables import read_or_empty, read_snapshots, stream_snapshots
@@ -45,14 +45,15 @@ def process_batch(batch: DataFrame, paths: RealtimePaths) -> None:
     For replays and for use without a stream. Replaying a batch changes nothing: facts and log rows
     go in by key.
     """
-    polls = materialize(batch.withColumn("header_ts", F.col("header.timestamp")), "polls")
-    runs = read_or_empty(batch.sparkSession, paths.runs, STORED_RUN)
-    done = runs.where(F.col("status") == RUN_OK).agg(
-        F.max(F.unix_seconds("snapshot_ts")).alias("top")).first().top
-    keys = polls.select(*POLL_KEY).distinct()
-    fresh = new_snapshots(keys, POLL_KEY, done).withColumn("fresh", F.lit(True))
-    marks = keys.join(fresh, POLL_KEY, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
-    _process(polls, materialize(marks, "marks"), paths)
+    with temporary_tables(batch.sparkSession):
+        polls = materialize(batch.withColumn("header_ts", F.col("header.timestamp")), "polls")
+        runs = read_or_empty(batch.sparkSession, paths.runs, STORED_RUN)
+        done = runs.where(F.col("status") == RUN_OK).agg(
+            F.max(F.unix_seconds("snapshot_ts")).alias("top")).first().top
+        keys = polls.select(*POLL_KEY).distinct()
+        fresh = new_snapshots(keys, POLL_KEY, done).withColumn("fresh", F.lit(True))
+        marks = keys.join(fresh, POLL_KEY, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        _process(polls, materialize(marks, "marks"), paths)
 
 
 def process_marked(marks: DataFrame, paths: RealtimePaths) -> None:
@@ -61,11 +62,13 @@ def process_marked(marks: DataFrame, paths: RealtimePaths) -> None:
     Only here are the messages themselves read, from the files the polls name. There are at most as
     many as the stream takes per batch.
     """
-    marks = materialize(marks, "marks")
-    files = [r.source for r in marks.select("source").distinct().collect()]
-    if files:
-        polls = read_snapshots(marks.sparkSession, files)
-        _process(materialize(polls.withColumn("header_ts", F.col("header.timestamp")), "polls"), marks, paths)
+    spark = marks.sparkSession
+    with temporary_tables(spark):
+        marks = materialize(marks, "marks")
+        files = [r.source for r in marks.select("source").distinct().collect()]
+        if files:
+            polls = read_snapshots(spark, files).withColumn("header_ts", F.col("header.timestamp"))
+            _process(materialize(polls, "polls"), marks, paths)
 
 
 def _process(polls: DataFrame, marks: DataFrame, paths: RealtimePaths) -> None:

@@ -1,6 +1,6 @@
-"""Streams that remember: header times already seen, and facts already stored.
+"""Streams that remember: header times already seen, facts already stored, the last run.
 
-Both keep their memory in the state of the stream, which its checkpoint restores. Neither reads
+All keep their memory in the state of the stream, which its checkpoint restores. None reads
 what has been written before.
 """
 
@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lateline.constants import FACT_RETENTION_HOURS
+from lateline.constants import FACT_RETENTION_HOURS, GAP_MINUTES, SILENCE_MINUTES
 from lateline.functions.clock import local_date
 from lateline.schema import DELAY_FACT, FACT_KEY
 
@@ -45,6 +46,39 @@ def mark_new(polls: DataFrame, feed: str = "trip updates") -> DataFrame:
         follow, f"{_POLL}, fresh boolean", "header_ts long", "append", GroupStateTimeout.NoTimeout)
 
 
+def watch_runs(runs: DataFrame, minutes: float = GAP_MINUTES,
+               silence: float = SILENCE_MINUTES) -> DataFrame:
+    """Breaks in a stream of runs (started_at), as they end or last: kind, gap_from, gap_to, gap_minutes.
+
+    A "gap" is a pair of consecutive runs more than ``minutes`` apart. A "silence" comes once when no
+    run has arrived for ``silence`` minutes of clock time, and has no end yet; the gap follows with
+    the next run. The state is the last run's time. Runs of a batch are put in order; one that
+    comes in later than a later run is no end of a gap.
+    """
+    def follow(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.update((last,))       # no new timeout: one alarm per silence
+            yield pd.DataFrame({"kind": ["silence"], "gap_from": [last], "gap_to": [None], "gap_minutes": [silence]})
+            return
+        micros = pd.concat([f["micros"] for f in frames]).dropna().astype("int64").sort_values().to_numpy()
+        if state.exists:
+            micros = np.concatenate([[state.get[0]], micros[micros > state.get[0]]])
+        if len(micros):
+            state.update((int(micros[-1]),))
+            state.setTimeoutDuration(int(silence * 60_000))
+        wide = np.flatnonzero(np.diff(micros) > minutes * 60_000_000)
+        ends = micros[wide + 1] if len(wide) else micros[:0]
+        yield pd.DataFrame({"kind": "gap", "gap_from": micros[wide], "gap_to": pd.array(ends, "Int64"),
+                            "gap_minutes": (ends - micros[wide]) / 60_000_000})
+
+    rows = runs.select(F.lit("runs").alias("_log"), F.unix_micros("started_at").alias("micros"))
+    found = rows.groupBy("_log").applyInPandasWithState(
+        follow, "kind string, gap_from long, gap_to long, gap_minutes double", "last long", "append",
+        GroupStateTimeout.ProcessingTimeTimeout)
+    return found.select("kind", *[F.timestamp_micros(c).alias(c) for c in ("gap_from", "gap_to")], "gap_minutes")
+
+
 def unseen_facts(facts: DataFrame, hours: int = FACT_RETENTION_HOURS) -> DataFrame:
     """A stream of facts without those whose primary key came before.
 

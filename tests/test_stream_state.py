@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lateline.functions.ordered import as_of
 from lateline.operators import realtime as ops
+from lateline.plans.key_store import KeyStore
 from lateline.schema import DELAY_FACT, FEED, SCHEDULE_LOOKUP, SCHEDULE_VERSION
+from lateline.session import materialize, temporary_tables
 from lateline.sources.lookup_store import StoredLookup
 from lateline.streaming.realtime import RealtimePaths, start_realtime
-from lateline.streaming.state import mark_new, start_fact_stream
+from lateline.streaming.state import mark_new, start_fact_stream, watch_runs
 from tests.test_realtime import T0, message, stop, update
 
 
@@ -150,3 +153,86 @@ def test_backlog_over_a_version_change_with_stored_lookup(spark, stored, tmp_pat
     got = sorted((int(r.ts.timestamp()) - T0, r.version_id, r.stop_id, r.delay_s)
                  for r in spark.read.parquet(paths.facts).collect())
     assert got == [(10, 1, "s1", 0), (99, 1, "s1", 1), (100, 2, "s7", 2), (200, 2, "s7", 3)]
+
+
+def test_silence_is_told_once(spark, tmp_path):
+    arriving, found = str(tmp_path / "runs"), str(tmp_path / "found")
+    os.makedirs(arriving)
+
+    def run(name, *seconds):
+        spark.createDataFrame([(at(s),) for s in seconds], "started_at timestamp").coalesce(1) \
+            .write.mode("append").parquet(arriving)
+
+    run("a", 0, 60, 600)
+    stream = spark.readStream.schema("started_at timestamp").parquet(arriving)
+    running = (watch_runs(stream, minutes=2, silence=0.05).writeStream.format("parquet").option("path", found)
+               .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start())
+    try:
+        deadline = time.monotonic() + 120
+
+        def rows():
+            try:
+                return sorted((r.kind, int(r.gap_from.timestamp()) - T0, r.gap_to and int(r.gap_to.timestamp()) - T0)
+                              for r in spark.read.schema("kind string, gap_from timestamp, gap_to timestamp")
+                              .parquet(found).collect())
+            except Exception:
+                return []
+
+        while len(rows()) < 2 and time.monotonic() < deadline:
+            time.sleep(1)
+        time.sleep(8)           # more batches without data: no second alarm
+        assert rows() == [("gap", 60, 600), ("silence", 600, None)]
+        run("b", 630, 590, 900)
+        while len(rows()) < 4 and time.monotonic() < deadline:
+            time.sleep(1)
+        assert rows() == [("gap", 60, 600), ("gap", 630, 900), ("silence", 600, None), ("silence", 900, None)]
+    finally:
+        running.stop()
+
+
+def folders(spark):
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return set(os.listdir(path.removeprefix("file://")))
+
+
+def test_batches_leave_no_folders(spark, tmp_path):
+    paths = RealtimePaths(**{n: str(tmp_path / n) for n in (
+        "snapshots", "versions", "lookup", "facts", "runs", "checkpoint")})
+    os.makedirs(paths.snapshots)
+    spark.createDataFrame([(1, "p", None, None, "f", at(0))], SCHEDULE_VERSION).write.parquet(paths.versions)
+    spark.createDataFrame(LOOKUP, SCHEDULE_LOOKUP).write.parquet(paths.lookup)
+    before = folders(spark)
+    for k in range(3):
+        with open(f"{paths.snapshots}/{k}.json", "w") as file:
+            file.write(json.dumps(message(T0 + k, update("t1", stop(1, k)))))
+        start_realtime(spark, paths, {"availableNow": True}).awaitTermination()
+    assert spark.read.parquet(paths.facts).count() == 3
+    assert folders(spark) == before
+
+
+def test_failing_work_leaves_no_folders(spark):
+    before = folders(spark)
+    with pytest.raises(ValueError):
+        with temporary_tables(spark):
+            materialize(spark.range(3), "outer")
+            with temporary_tables(spark):
+                assert materialize(spark.range(2), "inner").count() == 2
+            assert len(folders(spark) - before) == 1
+            raise ValueError
+    assert folders(spark) == before
+
+
+def test_one_new_day_reads_one_day(spark, tmp_path):
+    store = KeyStore(spark, str(tmp_path))
+    day = lambda d, lines: spark.createDataFrame(
+        [(at(86_400 * d + k), 1, "t", f"s{k % 2}", k, line, None, "0", dt.date(2024, 4, d + 1), 0, "OBSERVED")
+         for k, line in enumerate(lines)], DELAY_FACT)
+    assert tuple(store.used().first()) == (0, 0, 0, 0)
+    store.add(day(0, ["a", "b", "a", None]))
+    store.add(day(1, ["b", "c"]))
+    assert tuple(store.used().first()) == (3, 0, 2, 2)
+    store.add(day(1, ["b"]))                   # the day again, with fewer keys
+    assert tuple(store.used().first()) == (2, 0, 2, 2)
+    assert tuple(store.used(dt.date(2024, 4, 1), dt.date(2024, 4, 1)).first())[0] == 1
+    plan = store.used(dt.date(2024, 4, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "day" in plan and "Aggregate" in plan
