@@ -23,7 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -34,7 +34,7 @@ from lateline.session import materialize, new_path
 
 LENGTH, ROWS = 2048, 64
 #: Pieces of text and ids a worker remembers, and the longest piece it does.
-KEPT_PIECES, KEPT_IDS, KEPT_LENGTH = 600_000, 8_000_000, 64
+KEPT_PIECES, KEPT_IDS, KEPT_LENGTH = 1_000_000, 8_000_000, 64
 #: Documents are encoded in groups of about so many characters.
 GROUP = 1 << 20
 
@@ -60,7 +60,7 @@ class Encoder:
     #: White space other than blank and line break: a text with it is cut by rule, like one with a
     #: blank beside white space; all others simply at their blanks.
     RARE = "".join(filter(re.compile(r"[^\S \n]").match, map(chr, range(0x3001))))
-    TOGETHER = 2_000
+    TOGETHER = 20_000
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
@@ -88,6 +88,8 @@ class Encoder:
         self.pool, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.sizes, self.uses = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.count = 0
+        #: Long pieces of the texts at hand, to be forgotten after them.
+        self.long: list[tuple[dict, str]] = []
 
     def _trim(self) -> None:
         """Keep what was used more than once; forget all if that is still much."""
@@ -181,30 +183,46 @@ class Encoder:
         if self.count > KEPT_PIECES or self.used > KEPT_IDS:
             self._trim()
         # Even texts: what precedes the first blank, then pieces after one blank each.
-        uneven = [not self._even(t) for t in texts]
-        cut = [self.CUT.split(t) if odd else t.split(" ") for t, odd in zip(texts, uneven)]
-        plain = {p for ps, odd in zip(cut, uneven) for p in (ps if odd else ps[:1])}
-        spaced = set(chain.from_iterable(ps[1:] for ps, odd in zip(cut, uneven) if not odd))
-        fresh = list(plain.difference(self.plain)), list(spaced.difference(self.after_blank))
-        self.plain.update(zip(fresh[0], self._learn(fresh[0])))
-        self.after_blank.update(zip(fresh[1], self._learn_spaced(fresh[1])))
-        first, later = self.plain.__getitem__, self.after_blank.__getitem__
-        at: list[int] = []
-        for ps, odd in zip(cut, uneven):
-            if odd:
-                at.extend(map(first, ps))
+        firsts, spaced, counts, odd = [], [], [], []
+        for text in texts:
+            if self._even(text):
+                head, blank, rest = text.partition(" ")
+                firsts.append(head)
+                pieces = rest.split(" ") if blank else ()
+                spaced.extend(pieces)
+                counts.append((1, len(pieces), False))
             else:
-                at.append(first(ps[0]))
-                at.extend(map(later, ps[1:]))
-        numbers = np.array(at, np.int64)
+                pieces = self.CUT.split(text)
+                odd.extend(pieces)
+                counts.append((len(pieces), 0, True))
+        found = [self._numbers(self.plain, firsts, self._learn),
+                 self._numbers(self.after_blank, spaced, self._learn_spaced),
+                 self._numbers(self.plain, odd, self._learn)]
+        # In the order of the texts: the first piece, then the others, or the pieces cut by rule.
+        at, parts = [0, 0, 0], []
+        for first, later, by_rule in counts:
+            for k, n in ((2, first),) if by_rule else ((0, first), (1, later)):
+                parts.append(found[k][at[k]:at[k] + n])
+                at[k] += n
+        numbers = np.concatenate(parts)
         self.uses[:self.count] += np.bincount(numbers, minlength=self.count)
         ids = self._ids(numbers)
-        for known, new in zip((self.plain, self.after_blank), fresh):
-            for piece in new:
-                if len(piece) > KEPT_LENGTH:
-                    del known[piece]
-        last = np.cumsum([len(ps) for ps in cut]) - 1
-        return np.split(ids, np.cumsum(self.sizes[numbers])[last][:-1])
+        for known, piece in self.long:
+            known.pop(piece, None)
+        self.long = []
+        ends = np.cumsum([first + later for first, later, _ in counts])
+        return np.split(ids, np.cumsum(self.sizes[numbers])[ends[:-1] - 1])
+
+    def _numbers(self, known: dict[str, int], pieces: list[str], learn) -> np.ndarray:
+        """The numbers of pieces; those not known yet are learnt."""
+        out = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            fresh = list({pieces[k] for k in missing})
+            known.update(zip(fresh, learn(fresh)))
+            self.long += [(known, p) for p in fresh if len(p) > KEPT_LENGTH]
+            out[missing] = [known[pieces[k]] for k in missing]
+        return out
 
 
 _ENCODERS: dict[int, Encoder] = {}
