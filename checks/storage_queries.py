@@ -542,7 +542,7 @@ def _(v):
         runs.where((F.col("started_at") >= F.lit(low)) & (F.col("started_at") < F.lit(high))) \
             .write.mode("append").parquet(arriving)
         stream = v.spark.readStream.schema(runs.schema).parquet(arriving)
-        (watch_runs(stream, 15).writeStream.format("parquet").option("path", found)
+        (watch_runs(stream, 15, silence=None).writeStream.format("parquet").option("path", found)
          .option("checkpointLocation", state).outputMode("append").trigger(availableNow=True)
          .start().awaitTermination())
     return v.spark.read.parquet(found).where("kind = 'gap'").drop("kind")

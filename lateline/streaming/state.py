@@ -47,13 +47,16 @@ def mark_new(polls: DataFrame, feed: str = "trip updates") -> DataFrame:
 
 
 def watch_runs(runs: DataFrame, minutes: float = GAP_MINUTES,
-               silence: float = SILENCE_MINUTES) -> DataFrame:
+               silence: float | None = SILENCE_MINUTES) -> DataFrame:
     """Breaks in a stream of runs (started_at), as they end or last: kind, gap_from, gap_to, gap_minutes.
 
     A "gap" is a pair of consecutive runs more than ``minutes`` apart. A "silence" comes once when no
     run has arrived for ``silence`` minutes of clock time, and has no end yet; the gap follows with
     the next run. The state is the last run's time. Runs of a batch are put in order; one that
     comes in later than a later run is no end of a gap.
+
+    A watch for silence has work at all times: it needs a trigger by interval, and a pass over what
+    is there (``availableNow``) would never end. Without ``silence`` it tells gaps only.
     """
     def follow(key, frames: Iterator[pd.DataFrame], state: GroupState):
         if state.hasTimedOut:
@@ -66,7 +69,8 @@ def watch_runs(runs: DataFrame, minutes: float = GAP_MINUTES,
             micros = np.concatenate([[state.get[0]], micros[micros > state.get[0]]])
         if len(micros):
             state.update((int(micros[-1]),))
-            state.setTimeoutDuration(int(silence * 60_000))
+            if silence is not None:
+                state.setTimeoutDuration(int(silence * 60_000))
         wide = np.flatnonzero(np.diff(micros) > minutes * 60_000_000)
         ends = micros[wide + 1] if len(wide) else micros[:0]
         yield pd.DataFrame({"kind": "gap", "gap_from": micros[wide], "gap_to": pd.array(ends, "Int64"),
@@ -75,7 +79,7 @@ def watch_runs(runs: DataFrame, minutes: float = GAP_MINUTES,
     rows = runs.select(F.lit("runs").alias("_log"), F.unix_micros("started_at").alias("micros"))
     found = rows.groupBy("_log").applyInPandasWithState(
         follow, "kind string, gap_from long, gap_to long, gap_minutes double", "last long", "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
+        GroupStateTimeout.NoTimeout if silence is None else GroupStateTimeout.ProcessingTimeTimeout)
     return found.select("kind", *[F.timestamp_micros(c).alias(c) for c in ("gap_from", "gap_to")], "gap_minutes")
 
 
