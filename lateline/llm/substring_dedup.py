@@ -93,34 +93,44 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [" ".join(words[s["start"]:s["start"] + s["n"] + WINDOW - 1]) for s in spots]
             owner = pa.array(np.full(len(spots), 0), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(row, 1).take(owner),
-                 batch.column("th").slice(row, 1).take(owner),
+                [*(batch.column(c).slice(row, 1).take(owner) for c in ("doc_id", "tie", "rid")),
                  pa.array([s["a"] for s in spots], pa.int64()),
                  pa.array([s["start"] for s in spots], pa.int32()), pa.array(texts, pa.string())],
-                ["doc_id", "th", "a", "start", "passage"])
+                ["doc_id", "tie", "rid", "a", "start", "passage"])
 
 
-def passages(keyed: DataFrame) -> DataFrame:
-    """(doc_id, th, a, start, passage) of all passages whose anchor recurs, of distinct texts."""
+def distinct_texts(keyed: DataFrame) -> DataFrame:
+    """The anchors (a, start, n) of every distinct text, under the number ``rid`` of its first row.
+
+    doc_id and tie, the leading bytes of the text's MD5, are the order of texts. What follows moves
+    the number and not the key.
+    """
     id_type = keyed.schema["doc_id"].dataType.simpleString()
     marks = materialize(keyed.mapInArrow(
         _mark, f"doc_id {id_type}, th binary, a array<long>, start array<int>, n array<int>")
-        .filter(F.size("a") > 0), "anchors")
-    first = (marks.groupBy("th").agg(F.min(F.struct("doc_id")).alias("w"))
-             .select(F.col("th").alias("_th"), F.col("w.doc_id").alias("_id")))
-    once = marks.join(first, (marks["th"] == first["_th"])
-                      & marks["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    spots = once.dropDuplicates(["doc_id", "th"]).select(
-        "doc_id", "th", F.explode(F.arrays_zip("a", "start", "n")).alias("s"))
-    again = (spots.groupBy(F.col("s.a").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("a"))
-    held = (spots.join(again, spots["s.a"] == again["a"], "left_semi")
-            .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-            .agg(F.collect_list("s").alias("spots")))  # at most one text's own anchors
-    texts = keyed.join(held, (keyed["th"] == held["_th"])
-                       & keyed["doc_id"].eqNullSafe(held["_id"]))
-    cut = texts.select("doc_id", "th", "text", "spots").mapInArrow(
-        _cut, f"doc_id {id_type}, th binary, a long, start int, passage string")
+        .filter(F.size("a") > 0).withColumn("rid", F.monotonically_increasing_id()), "anchors")
+    first = marks.groupBy("th").agg(F.min(F.struct("doc_id", "rid")).alias("w")).select(F.col("w.rid").alias("rid"))
+    once = materialize(first, "first-rows")
+    # Bytes above 7f are larger, so the number is shifted to keep their order.
+    tie = F.conv(F.hex(F.substring("th", 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-2**63))
+    return marks.join(once, "rid", "left_semi").withColumn("tie", tie)
+
+
+def passages(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, tie, rid, a, start, passage) of all passages whose anchor recurs, of distinct texts."""
+    id_type = keyed.schema["doc_id"].dataType.simpleString()
+    spots = texts.select("rid", F.explode(F.arrays_zip("a", "start", "n")).alias("s")).select(
+        "rid", F.col("s.a").alias("a"), (F.col("s.start") * F.lit(64).cast("long") + F.col("s.n")).alias("at"))
+    again = (spots.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a"))
+    held = (spots.join(again, "a", "left_semi")
+            .groupBy("rid").agg(F.collect_list(F.struct(
+                "a", F.floor(F.col("at") / 64).cast("int").alias("start"),
+                (F.col("at") % 64).cast("int").alias("n"))).alias("spots")))  # one text's own anchors
+    held = held.join(texts.select("rid", "doc_id", "tie", "th"), "rid").select(
+        "rid", "tie", F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spots")
+    found = keyed.join(held, (keyed["th"] == held["_th"]) & keyed["doc_id"].eqNullSafe(held["_id"]))
+    cut = found.select("doc_id", "tie", "rid", "text", "spots").mapInArrow(
+        _cut, f"doc_id {id_type}, tie long, rid long, a long, start int, passage string")
     return materialize(cut, "passages")
 
 
@@ -129,7 +139,7 @@ def locate(shard: pd.DataFrame) -> pd.DataFrame:
     import ahocorasick
 
     none = shard["doc_id"].isna()
-    order = list(zip(~none, shard["doc_id"].where(~none, 0), shard["th"], shard["start"]))
+    order = list(zip(~none, shard["doc_id"].where(~none, 0), shard["tie"], shard["start"]))
     parts: dict[str, list[str]] = {}
     first: dict[str, tuple] = {}
     seen: set[str] = set()
@@ -162,14 +172,14 @@ def locate(shard: pd.DataFrame) -> pd.DataFrame:
                 if first[window] < (*at[:3], at[3] + k):
                     rows.append(row)
                     starts.append(at[3] + k)
-    out = shard.iloc[rows][["doc_id", "th"]].copy()
+    out = shard.iloc[rows][["rid"]].copy()
     out["start"] = np.array(starts, np.int32)
     return out
 
 
 def _hot_windows(hot: DataFrame) -> DataFrame:
     """``locate`` for passages on very frequent anchors, as grouping and joins."""
-    spot = F.struct("doc_id", "th", "start")
+    spot = F.struct("doc_id", "tie", "start")
     distinct = hot.groupBy("a", "passage").agg(F.min(spot).alias("w"), F.count(F.lit(1)).alias("c"))
     words = F.split("passage", " ")
     windows = distinct.withColumn("_words", words).select(
@@ -177,22 +187,21 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
             F.lit(0), F.size("_words") - WINDOW)).alias("k"), "_words").select(
         "a", F.md5("passage").alias("p"), "k", "c",
         F.array_join(F.slice("_words", F.col("k") + 1, WINDOW), " ").alias("window"),
-        F.struct("w.doc_id", "w.th", (F.col("w.start") + F.col("k")).alias("start")).alias("at"))
+        F.struct("w.doc_id", "w.tie", (F.col("w.start") + F.col("k")).alias("start")).alias("at"))
     windows = materialize(windows, "hot-windows")
     first = (windows.groupBy("window").agg(F.min("at").alias("first"), F.sum("c").alias("c"))
              .filter("c > 1").drop("c"))
     known = (windows.join(first, "window")
              .groupBy("a", "p").agg(F.collect_list(F.struct("k", "first")).alias("known")))
-    at = F.struct("doc_id", "th", (F.col("start") + F.col("x.k")).alias("start"))
+    at = F.struct("doc_id", "tie", (F.col("start") + F.col("x.k")).alias("start"))
     return (hot.withColumn("p", F.md5("passage")).join(known, ["a", "p"])
-            .select("doc_id", "th", "start", F.explode("known").alias("x"))
+            .select("doc_id", "tie", "rid", "start", F.explode("known").alias("x"))
             .filter(F.col("x.first") < at)
-            .select("doc_id", "th", (F.col("start") + F.col("x.k")).alias("start")))
+            .select("rid", (F.col("start") + F.col("x.k")).alias("start")))
 
 
 def repeated_windows(found: DataFrame, shard_size: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(doc_id, th, start) of every window of ``found`` whose words start earlier."""
-    id_type = found.schema["doc_id"].dataType.simpleString()
+    """(rid, start) of every window of ``found`` whose words start earlier."""
     many = (found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot)
             .select("a"))
     many = materialize(many, "hot-anchors")
@@ -200,7 +209,7 @@ def repeated_windows(found: DataFrame, shard_size: int = SHARD, hot: int = HOT)
     cold = (found.join(many, "a", "left_anti")
             .withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))))
     located = cold.groupBy("shard").applyInPandas(
-        lambda frame: locate(frame), f"doc_id {id_type}, th binary, start int")
+        lambda frame: locate(frame), "rid long, start int")
     return located.unionByName(_hot_windows(found.join(many, "a", "left_semi")))
 
 
@@ -240,9 +249,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    gone = (repeated_windows(passages(keyed))
-            .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-            .agg(F.collect_set("start").alias("starts")))  # at most one text's own windows
+    texts = distinct_texts(keyed)
+    gone = (repeated_windows(passages(keyed, texts))
+            .groupBy("rid").agg(F.collect_set("start").alias("starts")))  # one text's own windows
+    gone = texts.select("rid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).join(gone, "rid").drop("rid")
     first = (keyed.groupBy(F.col("th").alias("_ft")).agg(F.min(F.struct("doc_id")).alias("w"))
              .select("_ft", F.col("w.doc_id").alias("_fid")))
     ids = materialize(keyed.select("doc_id", "th").distinct(), "texts")
