@@ -19,6 +19,8 @@ _SCHEDULE_COLUMNS = ["trip_id", "stop_sequence", "stop_id", "line_id", "operator
 # The planner takes exploded messages for as small as their file and would broadcast any number
 # of updates. A merge join spills, and AQE splits its hot partitions.
 _JOIN = "merge"
+# Bits of the filter that a lookup passes before its rows move: at most 2^26, a million words.
+_BITS_PER_KEY, _LEAST_BITS, _MOST_BITS = 16, 1 << 16, 1 << 26
 
 
 def new_snapshots(polls: DataFrame, order: list[str], processed: int | None = None) -> DataFrame:
@@ -144,16 +146,42 @@ def observed_delays(matched: DataFrame) -> DataFrame:
             .select(*FACT_COLUMNS, "entity_no", "stop_no"))
 
 
+def _may_match(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose trip ``keys`` lack; none that they hold is left out.
+
+    A row is looked up by the hash of its trip in a bitmap of the keys, where it lies. The bitmap is
+    one row per word of 64 bits and of bounded size, so it can be broadcast at any number of keys.
+    """
+    bits = _LEAST_BITS
+    wanted = keys.count() * _BITS_PER_KEY
+    while bits < min(wanted, _MOST_BITS):
+        bits *= 2
+
+    def place(df):
+        at = F.xxhash64(df["version_id"].cast("bigint"), df["trip_id"].cast("string")).bitwiseAND(F.lit(bits - 1))
+        return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place(keys)
+    words = (keys.select(word.alias("_word"), bit.alias("_bit"))
+             .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    word, bit = place(rows)
+    # As a semi-join, since the planner moves the join with the keys below any other.
+    return rows.join(F.broadcast(words), (word == F.col("_word")) & (F.getbit("_bits", bit) == 1), "left_semi")
+
+
 def stops_of_trips(lookup, entities: DataFrame) -> DataFrame:
     """The scheduled stops of the trips that ``entities`` name: a semi-join of the lookup.
 
     The trips come as distinct keys, combined map-side, so a trip that fills the feed is one key.
-    ``lookup`` is a table, or a ``StoredLookup`` whose buckets already lie by trip.
+    Of a lookup that is a table only the rows that may match are shuffled, however many versions and
+    trips it holds besides. ``lookup`` is such a table, or a ``StoredLookup`` whose buckets already
+    lie by trip.
     """
     keys = entities.select("version_id", "trip_id").distinct()
     if not isinstance(lookup, DataFrame):
         return lookup.stops_of(keys).select(*_SCHEDULE_COLUMNS)
-    return lookup.select(*_SCHEDULE_COLUMNS).join(
+    keys = materialize(keys, "trips")
+    return _may_match(lookup.select(*_SCHEDULE_COLUMNS), keys).join(
         keys.hint(_JOIN), ["version_id", "trip_id"], "left_semi")
 
 

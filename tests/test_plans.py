@@ -1,9 +1,12 @@
 """Shapes of the physical plans that the scale rules rest on."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from checks import storage_queries  # noqa: F401
 from checks.fixtures import Views
+from checks.registry import QUERIES
 from lateline.operators import features, realtime, rollups, schedule
 from lateline.operators.audits import since
 from lateline.schema import DELAY_FACT, SCHEDULE_LOOKUP
@@ -13,6 +16,9 @@ from lateline.sources.sinks import between
 import datetime as dt
 
 
+partition_by = DataFrameWriter.partitionBy
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     v = Views(spark, "/root/testdata/sf0.001")
@@ -89,6 +95,38 @@ def test_exploded_updates_are_not_broadcast(spark, stored):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_only_stops_that_may_match_are_shuffled(spark):
+    """A lookup of 10,000 trips in five versions, and a feed of 100 trips of two of them."""
+    trips = spark.range(50_000).select(
+        (1 + F.col("id") % 5).cast("int").alias("version_id"), F.floor(F.col("id") / 5).cast("string").alias("trip_id"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in SCHEDULE_LOOKUP
+            if f.name not in ("version_id", "trip_id")]
+    lookup = materialize(trips.select("*", *rest), "lookup")
+    entities = materialize(trips.where("version_id IN (2, 3) AND CAST(trip_id AS INT) % 200 = 0")
+                           .unionByName(spark.createDataFrame([(2, "none"), (None, "0")], trips.schema)), "entities")
+    stops = realtime.stops_of_trips(lookup, entities)
+    assert sorted((r.version_id, int(r.trip_id)) for r in stops.collect()) == [
+        (v, t) for v in (2, 3) for t in range(0, 10_000, 200)]
+    lines = planned(stops).splitlines()
+    scan = next(k for k, line in enumerate(lines) if "/lookup-" in line)
+    above = [line for line in lines[:scan] if "Exchange hash" in line or "BroadcastHashJoin" in line]
+    assert "LeftSemi" in above[-1]      # below the exchange, so before the rows move
+    kept = realtime._may_match(lookup, entities.distinct())
+    assert 100 <= kept.count() < 500
+    # The type of the version is no part of the hash.
+    wide = lookup.withColumn("version_id", F.col("version_id").cast("bigint"))
+    assert realtime.stops_of_trips(wide, entities).count() == 100
+
+
+def test_versions_of_a_lookup_are_written_without_a_sort(spark, monkeypatch):
+    """Rows of all versions in one write are sorted by version, which spills."""
+    split = []
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *columns: split.append(columns)
+                        or partition_by(self, *columns))
+    QUERIES["R13_version_change"](spark, "/root/testdata/sf0.001")
+    assert split and ("version_id",) not in split
+
+
 def test_no_cross_joins(stored):
     v, fact, lookup = stored
     facts = features.assign_window(features.assign_client(fact, v.client_map))
