@@ -18,46 +18,37 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F
 
 from lateline.session import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW, GRAM = 20, 8
-SHARD, HOT = 1000, 2000
-KEPT_WORDS = 300_000
+SHARD, HOT = 8000, 2000
+# A run of windows as one number: first window * SPAN + number of windows.
+SPAN = 64
+# Passages are written after this many words of texts.
+CUT_WORDS = 500_000
 
 
-class Hashes:
-    """64-bit hashes of words; a bounded table keeps those of words already seen."""
+def hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, the same in every process."""
+    return hash_array(np.array(words, object), categorize=False) if words else np.zeros(0, np.uint64)
 
-    def __init__(self):
-        self.seen: dict[str, int] = {}
 
-    def of(self, words: list[str]) -> np.ndarray:
-        seen = self.seen
-        if len(seen) > KEPT_WORDS:
-            seen.clear()
-        for w in set(words).difference(seen):
-            raw = w.encode("utf-8", "surrogatepass")
-            seen[w] = zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)
-        return np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-
-
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, first window and number of windows of each run of windows on one anchor."""
-    n = len(hashes) - WINDOW + 1
+    n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    grams = np.zeros(len(hashes) - GRAM + 1, np.uint64)
+    grams = np.zeros(len(words) - GRAM + 1, np.uint64)
     for k in range(GRAM):
-        grams = grams * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + len(grams)]
+        grams = grams * np.uint64(0x9E3779B97F4A7C15) + words[k:k + len(grams)]
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(32)
@@ -74,10 +65,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = Hashes()
     kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
     for batch in batches:
-        found = [anchors(hashes.of(WORD.findall(t.as_py()))) for t in batch.column("text")]
+        found = [anchors(hashes(WORD.findall(t.as_py()))) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("th"),
              *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]],
@@ -87,16 +77,25 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The passages of texts: their words joined by one blank."""
     for batch in batches:
-        for row in range(batch.num_rows):
-            words = WORD.findall(batch.column("text")[row].as_py())
-            spots = batch.column("spots")[row].as_py()
-            texts = [" ".join(words[s["start"]:s["start"] + s["n"] + WINDOW - 1]) for s in spots]
-            owner = pa.array(np.full(len(spots), 0), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(row, 1).take(owner) for c in ("doc_id", "tie", "rid")),
-                 pa.array([s["a"] for s in spots], pa.int64()),
-                 pa.array([s["start"] for s in spots], pa.int32()), pa.array(texts, pa.string())],
-                ["doc_id", "tie", "rid", "a", "start", "passage"])
+        spots = batch.column("spots")
+        ends = np.cumsum(spots.value_lengths().to_numpy(zero_copy_only=False))
+        a, start, n = (spots.flatten().field(c) for c in ("a", "start", "n"))
+        begins, lengths = start.to_pylist(), n.to_pylist()
+        texts, size, done = [], 0, 0
+        for row, (text, end) in enumerate(zip(batch.column("text"), ends.tolist())):
+            words = WORD.findall(text.as_py())
+            for k in range(done, end):
+                texts.append(" ".join(words[begins[k]:begins[k] + lengths[k] + WINDOW - 1]))
+            size, done = size + len(words), end
+            if size > CUT_WORDS or row == batch.num_rows - 1:
+                first = done - len(texts)
+                owner = pa.array(np.searchsorted(ends, np.arange(first, done), side="right"))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).take(owner) for c in ("doc_id", "tie", "rid")),
+                     a.slice(first, len(texts)), start.slice(first, len(texts)),
+                     pa.array(texts, pa.string())],
+                    ["doc_id", "tie", "rid", "a", "start", "passage"])
+                texts, size = [], 0
 
 
 def distinct_texts(keyed: DataFrame) -> DataFrame:
@@ -134,47 +133,68 @@ def passages(keyed: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(cut, "passages")
 
 
-def locate(shard: pd.DataFrame) -> pd.DataFrame:
-    """The windows of a shard's passages whose words start earlier elsewhere."""
+def locate(shard: pa.Table) -> pa.Table:
+    """The windows of a shard's passages whose words start earlier elsewhere.
+
+    One row per passage that has any: ``spans`` holds, per run of such windows, the place of the
+    first and their number (``span``). Words become numbers, so a window is a sequence of them to
+    the automaton.
+    """
     import ahocorasick
 
-    none = shard["doc_id"].isna()
-    order = list(zip(~none, shard["doc_id"].where(~none, 0), shard["tie"], shard["start"]))
-    parts: dict[str, list[str]] = {}
-    first: dict[str, tuple] = {}
-    seen: set[str] = set()
-    for passage, at in zip(shard["passage"], order):
-        words = parts.get(passage)
-        if words is None:
-            words = parts[passage] = passage.split(" ")
+    ids = shard.column("doc_id").to_pylist()
+    keys = [(i is not None, 0 if i is None else i, t) for i, t in zip(ids, shard.column("tie").to_pylist())]
+    rank = {key: k << 32 for k, key in enumerate(sorted(set(keys)))}
+    # The order of (document, start) as one number.
+    order = [rank[key] + start for key, start in zip(keys, shard.column("start").to_pylist())]
+    passages = shard.column("passage").to_pylist()
+    earliest: dict[str, int] = {}
+    repeated: set[str] = set()
+    for passage, at in zip(passages, order):
+        if passage in earliest:
+            repeated.add(passage)
+            earliest[passage] = min(earliest[passage], at)
+        else:
+            earliest[passage] = at
+    numbers: dict[str, int] = {}
+    parts: dict[str, tuple] = {}
+    first: dict[tuple, int] = {}
+    seen: set[tuple] = set()
+    for passage, at in earliest.items():
+        words = parts[passage] = tuple([numbers.setdefault(w, len(numbers)) for w in passage.split(" ")])
+        again = passage in repeated
         for k in range(len(words) - WINDOW + 1):
-            window = " ".join(words[k:k + WINDOW])
-            spot = (*at[:3], at[3] + k)
-            if window in first:
-                seen.add(window)
-                first[window] = min(first[window], spot)
+            window = words[k:k + WINDOW]
+            spot = first.get(window)
+            if spot is None:
+                first[window] = at + k
+                if again:
+                    seen.add(window)
             else:
-                first[window] = spot
-    rows, starts = [], []
+                seen.add(window)
+                if at + k < spot:
+                    first[window] = at + k
+    rows, spans = [], []
     if seen:
-        automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for window in seen:
-            automaton.add_word(f" {window} ", window)
+            automaton.add_word(window, first[window])
         automaton.make_automaton()
-        found = {}
-        for passage in parts:
-            padded = f" {passage} "
-            found[passage] = [
-                (padded.count(" ", 0, end - len(window) - 1), window)
-                for end, window in automaton.iter(padded)]
-        for row, (passage, at) in enumerate(zip(shard["passage"], order)):
-            for k, window in found[passage]:
-                if first[window] < (*at[:3], at[3] + k):
-                    rows.append(row)
-                    starts.append(at[3] + k)
-    out = shard.iloc[rows][["rid"]].copy()
-    out["start"] = np.array(starts, np.int32)
-    return out
+        found = {passage: [(end - WINDOW + 1, spot) for end, spot in automaton.iter(words)]
+                 for passage, words in parts.items()}
+        for row, (passage, at) in enumerate(zip(passages, order)):
+            gone = [k for k, spot in found[passage] if spot < at + k]
+            if gone:
+                begin, low = at & 0xFFFFFFFF, gone[0]
+                runs = []
+                for k, after in zip(gone, [*gone[1:], None]):
+                    if after != k + 1:
+                        runs.append((begin + low) * SPAN + k - low + 1)
+                        low = after
+                rows.append(row)
+                spans.append(runs)
+    return pa.table({"rid": shard.column("rid").take(pa.array(rows, pa.int64())),
+                     "spans": pa.array(spans, pa.list_(pa.int64()))})
 
 
 def _hot_windows(hot: DataFrame) -> DataFrame:
@@ -193,44 +213,56 @@ def _hot_windows(hot: DataFrame) -> DataFrame:
              .filter("c > 1").drop("c"))
     known = (windows.join(first, "window")
              .groupBy("a", "p").agg(F.collect_list(F.struct("k", "first")).alias("known")))
-    at = F.struct("doc_id", "tie", (F.col("start") + F.col("x.k")).alias("start"))
+
+    def later(x):
+        return x["first"] < F.struct("doc_id", "tie", (F.col("start") + x["k"]).alias("start"))
+
+    def span(x):
+        return (F.col("start") + x["k"]).cast("long") * SPAN + 1
+
+    # A passage stays one row, with its few windows in an array.
     return (hot.withColumn("p", F.md5("passage")).join(known, ["a", "p"])
-            .select("doc_id", "tie", "rid", "start", F.explode("known").alias("x"))
-            .filter(F.col("x.first") < at)
-            .select("rid", (F.col("start") + F.col("x.k")).alias("start")))
+            .select("rid", F.transform(F.filter("known", later), span).alias("spans"))
+            .filter(F.size("spans") > 0))
 
 
 def repeated_windows(found: DataFrame, shard_size: int = SHARD, hot: int = HOT) -> DataFrame:
-    """(rid, start) of every window of ``found`` whose words start earlier."""
+    """(rid, spans) of the passages of ``found`` with windows whose words start earlier."""
     many = (found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot)
             .select("a"))
     many = materialize(many, "hot-anchors")
     shards = max(1, math.ceil(found.count() / shard_size))
     cold = (found.join(many, "a", "left_anti")
             .withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))))
-    located = cold.groupBy("shard").applyInPandas(
-        lambda frame: locate(frame), "rid long, start int")
+    located = cold.groupBy("shard").applyInArrow(
+        lambda table: locate(table), "rid long, spans array<long>")
     return located.unionByName(_hot_windows(found.join(many, "a", "left_semi")))
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts, removed, digests, texts = [], [], [], []
-        for text, starts, copy in zip(batch.column("text"), batch.column("starts"),
-                                      batch.column("copy")):
+        for text, spans, copy in zip(batch.column("text"), batch.column("spans"),
+                                     batch.column("copy")):
             words = WORD.findall(text.as_py())
             n = len(words)
-            gone = np.zeros(n + 1, np.int64)
+            kept = words
             if copy.as_py() and n >= WINDOW:
-                gone[0], gone[n] = 1, -1
-            elif starts.is_valid:
-                at = np.asarray(starts.values if hasattr(starts, "values") else starts.as_py())
+                kept = []
+            elif spans.is_valid:
+                at, windows = np.divmod(spans.values.to_numpy(), SPAN)
+                gone = np.zeros(n + 1, np.int64)
                 np.add.at(gone, at, 1)
-                np.add.at(gone, at + WINDOW, -1)
-            left = np.cumsum(gone)[:n] == 0
-            kept = " ".join([w for w, k in zip(words, left.tolist()) if k])
+                np.add.at(gone, at + windows + WINDOW - 1, -1)
+                left = np.cumsum(gone)[:n] == 0
+                edges = np.flatnonzero(np.diff(left, prepend=False, append=False)).tolist()
+                kept = []
+                for low, high in zip(edges[::2], edges[1::2]):
+                    kept += words[low:high]
+            left = len(kept)
+            kept = " ".join(kept)
             counts.append(n)
-            removed.append(n - int(left.sum()))
+            removed.append(n - left)
             digests.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
             texts.append(kept)
         yield pa.RecordBatch.from_arrays(
@@ -251,7 +283,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     texts = distinct_texts(keyed)
     gone = (repeated_windows(passages(keyed, texts))
-            .groupBy("rid").agg(F.collect_set("start").alias("starts")))  # one text's own windows
+            .groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans")))  # one text's own windows
     gone = texts.select("rid", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).join(gone, "rid").drop("rid")
     first = (keyed.groupBy(F.col("th").alias("_ft")).agg(F.min(F.struct("doc_id")).alias("w"))
              .select("_ft", F.col("w.doc_id").alias("_fid")))
@@ -261,11 +293,11 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             .select("doc_id", "th", "copy"))
     plan = (plan.join(gone, (plan["th"] == gone["_th"])
                       & plan["doc_id"].eqNullSafe(gone["_id"]), "left")
-            .filter(F.col("copy") | F.col("starts").isNotNull())
-            .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "copy", "starts"))
+            .filter(F.col("copy") | F.col("spans").isNotNull())
+            .select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "copy", "spans"))
     plan = materialize(plan, "removals")
     rows = keyed.join(plan, (keyed["th"] == plan["_th"])
                       & keyed["doc_id"].eqNullSafe(plan["_id"]), "left")
-    return rows.select("doc_id", "text", "starts",
+    return rows.select("doc_id", "text", "spans",
                        F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(
         _keep, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string, kept_text string")

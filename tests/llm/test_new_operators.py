@@ -132,6 +132,27 @@ def test_substrings_match_brute_force(spark, monkeypatch, hot):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_a_passage_with_repeated_windows_is_one_row(spark, hot):
+    """However often it comes and however many of its windows start earlier."""
+    line = " ".join(f"w{k}" for k in range(32))
+    keyed = substring_dedup._keyed(frame(spark, [(k, f"head{k} {line} tail{k}") for k in range(40)]))
+    found = substring_dedup.passages(keyed, substring_dedup.distinct_texts(keyed))
+    spans = substring_dedup.repeated_windows(found, 50, hot).collect()
+    assert len(spans) <= found.count()
+    starts = {(r.rid, s // 64 + k) for r in spans for s in r.spans for k in range(s % 64)}
+    assert len(starts) == 39 * 13 and {s for _, s in starts} == set(range(1, 14))
+
+
+def test_large_ids_beside_a_null_id_keep_their_order(spark):
+    rows = [(None, " ".join(f"v{p}x{k}" for p in range(8) for k in range(25)))]
+    for p in range(8):
+        line = " ".join(f"w{p}x{k}" for k in range(25))
+        rows += [(2**60 + 2 * p + k, f"head{p}x{k} {rows[0][1][:300]} {line}") for k in (1, 0)]
+    got = substring_dedup.dedup_substrings(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_dedup(rows)
+
+
 # ---- HTML
 
 @pytest.mark.parametrize("page, text", [
